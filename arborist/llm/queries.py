@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import license_scan, line_dedup, url_filter
 from .common import table
 
 QUERIES = {
     "op5_line_dedup": lambda spark, d: line_dedup.op5(table(spark, d, "documents")),
+    "op6_url_filter": lambda spark, d: url_filter.op6(table(spark, d, "pages"), table(spark, d, "labels")),
+    "op8_license_scan": lambda spark, d: license_scan.op8(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
 }
