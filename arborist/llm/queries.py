@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, url_filter
+from . import bpe, license_scan, line_dedup, url_filter
 from .common import table
 
 QUERIES = {
     "op5_line_dedup": lambda spark, d: line_dedup.op5(table(spark, d, "documents")),
     "op6_url_filter": lambda spark, d: url_filter.op6(table(spark, d, "pages"), table(spark, d, "labels")),
+    "op7_byte_bpe": lambda spark, d: bpe.op7(table(spark, d, "documents")),
     "op8_license_scan": lambda spark, d: license_scan.op8(table(spark, d, "documents")),
 }
 
