@@ -76,10 +76,11 @@ def _distinct(rows: DataFrame) -> DataFrame:
 def keep_bitmaps(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False
 ) -> DataFrame:
-    """Sparse drop bitmaps: d, t (hash of the text), words array<struct<w, bits>>.
+    """Sparse drop bitmaps: d, t (hash of the text), words map<w, bits>, n_first.
 
-    Bit ``i`` of word ``w`` set means that line ``64 w + i`` goes. Documents that
-    lose nothing have no row. ``keep_first`` spares each key's first occurrence.
+    Bit ``i`` of word ``w`` set means that line ``64 w + i`` goes; ``n_first``
+    counts the document's lines that are the first of a frequent key. Documents
+    with neither have no row. ``keep_first`` spares each key's first occurrence.
     """
     rows = _distinct(_identified(docs, doc_id, text))
     often = written(frequent_keys(rows, min_docs, min_chars), "line-keys")
@@ -89,22 +90,20 @@ def keep_bitmaps(
     ranged = lines.withColumn("salt", F.pmod(F.xxhash64("d", "t"), F.lit(SALTS))).repartitionByRange("h1", "h2", "salt")
     run = Window.partitionBy("h1", "h2", "salt").orderBy("d", "t", "pos")
     streamed = ranged.withColumn("first_in_salt", F.row_number().over(run) == 1)
+    firsts = streamed.where("first_in_salt").groupBy("h1", "h2").agg(F.min(F.struct("d", "t", "pos")).alias("f")).select("h1", "h2", "f.*")
     if keep_first:
-        firsts = (
-            streamed.where("first_in_salt")
-            .groupBy("h1", "h2")
-            .agg(F.min(F.struct("d", "t", "pos")).alias("f"))
-            .select("h1", "h2", F.col("f.d").alias("fd"), F.col("f.t").alias("ft"), F.col("f.pos").alias("fp"))
-        )
-        streamed = streamed.join(firsts, ["h1", "h2"]).where(
-            ~(F.col("d").eqNullSafe(F.col("fd")) & (F.col("t") == F.col("ft")) & (F.col("pos") == F.col("fp")))
-        )
-    bit = F.expr("shiftleft(1L, cast(pos & 63 as int))")
+        first = firsts.toDF("k1", "k2", "fd", "ft", "fp")
+        same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("d").eqNullSafe(F.col("fd")) & (F.col("t") == F.col("ft")) & (F.col("pos") == F.col("fp"))
+        streamed = streamed.join(first, same, "left_anti")
+    word = F.expr("pos div 64")
+    dropped = streamed.select("d", "t", word.alias("w"), F.expr("shiftleft(1L, cast(pos & 63 as int))").alias("bit"), F.lit(0).alias("first"))
+    led = firsts.select("d", "t", word.alias("w"), F.lit(0).cast("bigint").alias("bit"), F.lit(1).alias("first"))
     return (
-        streamed.groupBy("d", "t", F.expr("pos div 64").alias("w"))
-        .agg(F.bit_or(bit).alias("bits"))
+        dropped.unionByName(led)
+        .groupBy("d", "t", "w")
+        .agg(F.bit_or("bit").alias("bits"), F.sum("first").alias("first"))
         .groupBy("d", "t")
-        .agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("words"))
+        .agg(F.map_from_entries(F.collect_list(F.when(F.col("bits") != 0, F.struct("w", "bits")))).alias("words"), F.sum("first").alias("n_first"))
     )
 
 
@@ -119,8 +118,8 @@ def _kept(lines: Column, words: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with all its columns, ``text`` reduced to the lines kept, and ``__n_lines``, ``__n_dropped``."""
-    bitmaps = keep_bitmaps(docs, doc_id, text, **options).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("words").alias("__words"))
+    """``docs`` with all its columns, ``text`` reduced to the lines kept, and ``__n_lines``, ``__n_dropped``, ``__n_first``."""
+    bitmaps = keep_bitmaps(docs, doc_id, text, **options).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("words").alias("__words"), F.col("n_first").alias("__n_first"))
     there = docs[doc_id].eqNullSafe(bitmaps["__d"]) & (F.xxhash64(docs[text]) == bitmaps["__t"])
     joined = docs.join(bitmaps.hint("shuffle_hash"), there, "left").withColumn("__lines", split_lines(F.col(text)))
     kept = joined.withColumn("__kept", _kept(F.col("__lines"), F.col("__words")))
@@ -128,6 +127,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
         {
             text: F.array_join("__kept", "\n"),
             "__n_lines": F.size("__lines").cast("long"),
+            "__n_first": F.coalesce("__n_first", F.lit(0)),
             "__n_dropped": (F.size("__lines") - F.size("__kept")).cast("long"),
         }
     )
@@ -135,9 +135,15 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 with keys of one character or more in ten documents or more."""
+    """doc_id, n_lines, n_dropped, kept_sha256, n_first with keys of one character or more in ten documents or more."""
     out = deduplicated(docs.select("doc_id", "text"), min_docs=10, min_chars=1)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id",
+        F.col("__n_lines").alias("n_lines"),
+        F.col("__n_dropped").alias("n_dropped"),
+        F.sha2("text", 256).alias("kept_sha256"),
+        F.col("__n_first").alias("n_first"),
+    )
 
 
 OP5_SQL = r"""
@@ -149,11 +155,12 @@ WITH lines AS (
     translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines
 ), often AS (
-  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+  SELECT k, min(doc_id * 10000000 + pos) AS first FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
 ), marked AS (
-  SELECT y.*, o.k IS NOT NULL AS gone FROM keyed y LEFT JOIN often o ON y.k = o.k
+  SELECT y.*, o.k IS NOT NULL AS gone, coalesce(doc_id * 10000000 + pos = first, false) AS led FROM keyed y LEFT JOIN often o ON y.k = o.k
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256,
+  count(*) FILTER (WHERE led) AS n_first
 FROM marked GROUP BY doc_id
 """

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, line_dedup, url_filter
+from . import bpe, chat_format, license_scan, line_dedup, url_filter
 from .common import table
 
 QUERIES = {
+    "op2_chat_format": lambda spark, d: chat_format.op2(table(spark, d, "conversations")),
     "op5_line_dedup": lambda spark, d: line_dedup.op5(table(spark, d, "documents")),
     "op6_url_filter": lambda spark, d: url_filter.op6(table(spark, d, "pages"), table(spark, d, "labels")),
     "op7_byte_bpe": lambda spark, d: bpe.op7(table(spark, d, "documents")),
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_chat_format": chat_format.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
 }
