@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, license_scan, line_dedup, url_filter
+from . import bpe, chat_format, decontaminate, license_scan, line_dedup, url_filter
 from .common import table
 
 QUERIES = {
+    "op1_decontaminate": lambda spark, d: decontaminate.op1(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op2_chat_format": lambda spark, d: chat_format.op2(table(spark, d, "conversations")),
     "op5_line_dedup": lambda spark, d: line_dedup.op5(table(spark, d, "documents")),
     "op6_url_filter": lambda spark, d: url_filter.op6(table(spark, d, "pages"), table(spark, d, "labels")),
