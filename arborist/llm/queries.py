@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, license_scan, line_dedup, url_filter
+from . import ann, bpe, chat_format, decontaminate, license_scan, line_dedup, url_filter
 from .common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_url_filter": lambda spark, d: url_filter.op6(table(spark, d, "pages"), table(spark, d, "labels")),
     "op7_byte_bpe": lambda spark, d: bpe.op7(table(spark, d, "documents")),
     "op8_license_scan": lambda spark, d: license_scan.op8(table(spark, d, "documents")),
+    "op10_ann": lambda spark, d: ann.op10(table(spark, d, "embeddings")),
 }
 
 ORACLE_SQL = {
