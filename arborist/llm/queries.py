@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, url_filter
+from . import ann, bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, toxicity, url_filter
 from .common import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filter": lambda spark, d: url_filter.op6(table(spark, d, "pages"), table(spark, d, "labels")),
     "op7_byte_bpe": lambda spark, d: bpe.op7(table(spark, d, "documents")),
     "op8_license_scan": lambda spark, d: license_scan.op8(table(spark, d, "documents")),
+    "op9_toxicity": lambda spark, d: toxicity.op9(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_ann": lambda spark, d: ann.op10(table(spark, d, "embeddings")),
 }
 
