@@ -1,0 +1 @@
+"""Empty on purpose: clustering here is a batch job, and no operator takes a stream."""
