@@ -15,15 +15,16 @@ link if 100 * intersection >= percent * union. The steps, each exact:
    set of size n can lose ``n - ceil(percent n / 100)`` shingles and still
    link. Its prefix is extended until its keys survive any such loss: a rare
    shingle (at most ``RARE`` sets) is a key by itself; frequent ones are dealt
-   by hash into classes, and each pair within a class is a key (for shingles
-   of over ``RARE ** 2`` sets each triple), where c shingles of a class take
-   the loss of c - k + 1 to leave no key. The number of classes follows the
+   by hash into classes, and each k of a class are a key, k being 2, 3 or 4 as
+   frequency passes powers of ``RARE``; c shingles of a class take the loss of
+   c - k + 1 to leave no key. The number of classes follows the
    size band; a set is indexed in its band and the next, so any two sets that
    may link share a band.
 4. Sets under one key don't meet all with all. In a first round each set meets
    its most frequent hub (the member with the largest share of shared
    shingles), exact intersections decide, and links merge into components.
-   Then only members of *different* components under a key meet.
+   Then only members of *different* components under a key meet, if their
+   bitmaps allow an intersection large enough.
 5. Components by minimum labels with pointer jumping; nothing is collected.
 
 Defined cases: a text of fewer than k words is one shingle of all of them;
@@ -46,9 +47,13 @@ from .common import written
 from .words import U, mix, sliced, word_hashes
 
 RARE = 8
+#: Classes per shingle of a set, by the size of combinations: a class then has a few more than it needs.
+CLASS_SHARE = {2: 0.05, 3: 0.15, 4: 0.2}
+#: Longs of a set's bitmap.
+MAPS = 8
 #: Shingles that one range of hashes holds, on average.
 RANGE = 2_000_000
-_EDGES = "a long, b long"
+BLOCK = "g long, sids binary, sizes binary, counts binary, toks binary"
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -87,6 +92,23 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(key)]]))
 
 
+def _blocks(g: np.ndarray, sid: np.ndarray, n: np.ndarray, tok: np.ndarray) -> pa.Table:
+    """One row for each run of g; sets are runs of sid within it."""
+    rows: list[tuple] = []
+    for a, length in zip(*_runs(g)):
+        part = slice(a, a + length)
+        s, c = _runs(sid[part])
+        rows.append((int(g[a]), sid[part][s].tobytes(), n[part][s].tobytes(), c.tobytes(), tok[part].tobytes()))
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["g", "sids", "sizes", "counts", "toks"])
+
+
+def _unpacked(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """sid, n and count of each set's run, and all shingles, of a group of blocks."""
+    joined = [b"".join(group.column(c).to_pylist()) for c in ("sids", "sizes", "counts", "toks")]
+    return tuple(np.frombuffer(x, U if i == 3 else np.int64) for i, x in enumerate(joined))
+
+
 def shared(docs: DataFrame, k: int, total: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """sid, n, toks: sets of which ``percent`` or more of the shingles are shared, with those."""
     ranges = max(1, total // RANGE)
@@ -112,18 +134,10 @@ def shared(docs: DataFrame, k: int, total: int, percent: int, doc_id: str, text:
                 g[len(t) - many.sum() :] = ranges + (number + sig[firsts][own[many]]) % ranges
                 order = np.lexsort((w, g))
                 t, w, g = t[order], w[order], g[order]
-                at, length = _runs(g)
-                rows = []
-                for a, n in zip(at, length):
-                    s, c = _runs(w[a : a + n])
-                    o = w[a : a + n][s]
-                    rows.append((int(g[a]), np.where(o < 0, 0, sig[firsts][o]).tobytes(), np.where(o < 0, 0, size[o]).tobytes(), c.tobytes(), t[a : a + n].tobytes()))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["g", "sids", "sizes", "counts", "toks"])
+                yield from _blocks(g, np.where(w < 0, 0, sig[firsts][w]), np.where(w < 0, 0, size[w]), t).to_batches()
 
     def meet(key, group):
-        sid, n, c = (np.frombuffer(b"".join(group.column(x).to_pylist()), np.int64) for x in ("sids", "sizes", "counts"))
-        tok = np.frombuffer(b"".join(group.column("toks").to_pylist()), U)
+        sid, n, c, tok = _unpacked(group)
         run = np.repeat(np.arange(len(c)), c)
         if key[0].as_py() < ranges:
             order = np.argsort(tok)
@@ -138,20 +152,29 @@ def shared(docs: DataFrame, k: int, total: int, percent: int, doc_id: str, text:
             order = order[sid[run[order]] != 0]
         else:
             order = np.arange(len(tok))
-        order = order[np.argsort(sid[run[order]], kind="stable")]
-        s, times = _runs(sid[run[order]])
-        return pa.table(
-            {
-                "sid": pa.array(sid[run[order]][s], pa.int64()),
-                "n": pa.array(n[run[order]][s], pa.int64()),
-                "toks": pa.LargeListArray.from_arrays(np.concatenate([s, [len(order)]]), pa.array(tok[order].view(np.int64))).cast(pa.list_(pa.int64())),
-            }
-        )
-
-    blocks = docs.select(doc_id, text).mapInArrow(send, "g long, sids binary, sizes binary, counts binary, toks binary")
-    parts = blocks.groupBy("g").applyInArrow(meet, "sid long, n long, toks array<long>")
-    whole = parts.groupBy("sid").agg(F.first("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("toks"))).alias("toks"))
-    return whole.where(F.size("toks") * 100 >= F.col("n") * percent)
+        own = sid[run[order]]
+        bucket = (mix(own.view(U)) % U(ranges)).astype(np.int64)
+        order = order[np.lexsort((own, bucket))]
+        return _blocks(np.sort(bucket), sid[run[order]], n[run[order]], tok[order])
+
+    def gather(key, group):
+        sid, n, c, tok = _unpacked(group)
+        run = np.repeat(np.arange(len(c)), c)
+        order = np.lexsort((tok, sid[run]))
+        own, t = sid[run[order]], tok[order]
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (own[1:] != own[:-1])])
+        order, own, t = order[new], own[new], t[new]
+        s, length = _runs(own)
+        size = n[run[order]][s]
+        keep = length * 100 >= size * percent
+        t = t[np.repeat(keep, length)]
+        ends = np.concatenate([[0], np.cumsum(length[keep])])
+        toks = pa.LargeListArray.from_arrays(ends, pa.array(t.view(np.int64))).cast(pa.list_(pa.int64()))
+        return pa.table({"sid": pa.array(own[s][keep], pa.int64()), "n": pa.array(size[keep], pa.int64()), "toks": toks})
+
+    blocks = docs.select(doc_id, text).mapInArrow(send, BLOCK)
+    parts = blocks.groupBy("g").applyInArrow(meet, BLOCK)
+    return parts.groupBy("g").applyInArrow(gather, "sid long, n long, toks array<long>")
 
 
 def _band(n: int, percent: int) -> int:
@@ -166,16 +189,16 @@ def prefix_keys(n: int, toks: np.ndarray, df: np.ndarray, percent: int, band: in
     kills = n - -(-percent * n // 100) + 1 - (n - len(toks))
     if kills <= 0:
         return []
-    classes = max(1, int((100 / percent) ** band * (100 - percent) / 100 / 3))
+    least = (100 / percent) ** band
     groups: dict[tuple[int, int], list[int]] = {}
     out: list[tuple[int, ...]] = []
     for t, f in zip(toks.tolist(), df.tolist()):
-        k = 1 if f <= RARE else 2 if f <= RARE * RARE else 3
+        k = 1 if f <= RARE else 2 if f <= RARE**2 else 3 if f <= RARE**3 else 4
         if k == 1:
             out.append((t,))
             kills -= 1
         else:
-            members = groups.setdefault((k, t % classes), [])
+            members = groups.setdefault((k, t % max(1, int(least * CLASS_SHARE[k]))), [])
             out += [(*c, t) for c in combinations(members, k - 1)]
             members.append(t)
             kills -= len(members) >= k
@@ -183,7 +206,7 @@ def prefix_keys(n: int, toks: np.ndarray, df: np.ndarray, percent: int, band: in
             break
     salt = U(band + 1)
     keys = np.full(len(out), salt)
-    for i in range(3):
+    for i in range(4):
         have = np.array([len(c) > i for c in out])
         at = np.array([c[i] if len(c) > i else 0 for c in out], np.int64).view(U)
         keys = np.where(have, mix(keys + at), keys)
@@ -191,7 +214,8 @@ def prefix_keys(n: int, toks: np.ndarray, df: np.ndarray, percent: int, band: in
 
 
 def indexed(sets: DataFrame, percent: int) -> DataFrame:
-    """key, sid, n, shared: the index. sets: sid, n, toks."""
+    """key, sid, n, m (shingles shared with others), own (key of its own size band), b0.. (bitmap of those shingles): the index. sets: sid, n, toks."""
+    maps_ = [f"b{i}" for i in range(MAPS)]
     each = sets.select("sid", "n", F.explode("toks").alias("t"))
     often = each.groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     core = each.join(often, "t").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
@@ -203,12 +227,16 @@ def indexed(sets: DataFrame, percent: int) -> DataFrame:
                 sid, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 df, t = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
                 band = _band(n, percent)
-                keys = sorted({k for b in (band, band + 1) for k in prefix_keys(n, t, df, percent, b)})
+                mine = set(prefix_keys(n, t, df, percent, band))
+                keys = [*mine, *(set(prefix_keys(n, t, df, percent, band + 1)) - mine)]
+                bits = np.zeros(64 * MAPS, np.uint8)
+                bits[(mix(t.view(U)) % U(64 * MAPS)).astype(np.int64)] = 1
+                maps = np.packbits(bits, bitorder="little").view(np.int64)
                 if keys:
                     full = lambda x: pa.array(np.full(len(keys), x))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), full(sid), full(n), full(len(t) / n)], ["key", "sid", "n", "shared"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), full(sid), full(n), full(len(t)), pa.array(np.arange(len(keys)) < len(mine)), *map(full, maps)], ["key", "sid", "n", "m", "own", *maps_])
 
-    return core.mapInArrow(run, "key long, sid long, n long, shared double")
+    return core.mapInArrow(run, "key long, sid long, n long, m long, own boolean, " + ", ".join(f"{x} long" for x in maps_))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,16 +266,20 @@ def components(edges: DataFrame) -> DataFrame:
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between sets that join everything that links, directly or through others."""
     index = written(indexed(sets, percent), "index")
-    hubs = index.groupBy("key").agg(F.max(F.struct("shared", "sid")).alias("h"), F.count("*").alias("m")).where("m > 1").select("key", F.col("h.sid").alias("hub"))
+    hubs = index.groupBy("key").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), F.col("sid"))).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", F.col("h.sid").alias("hub"))
     votes = index.join(hubs, "key").where("sid <> hub").groupBy("sid", "hub").agg(F.count("*").alias("votes"))
     best = votes.groupBy("sid").agg(F.max(F.struct("votes", "hub")).alias("h")).select(F.col("sid").alias("a"), F.col("h.hub").alias("b"))
     found = written(verified(best, sets, percent), "links")
     labelled = index.join(components(found).withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = written(labelled.join(mixed, "key").select("key", "sid", "n", "label"), "open")
+    open_ = written(labelled.join(mixed, "key"), "open")
     l, r = open_.alias("l"), open_.alias("r")
     fits = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label"))
-    fits &= (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
+    # each bit that one bitmap lacks is a shingle that the sets don't share: a bound of the intersection
+    lack = lambda x, y: sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{i}")))) for i in range(MAPS)), F.lit(0))
+    most = F.least(F.col("l.m") - lack("l", "r"), F.col("r.m") - lack("r", "l"))
+    fits &= F.col("l.own") | F.col("r.own")
+    fits &= most * 100 >= (F.col("l.n") + F.col("r.n") - most) * percent
     rest = l.join(r, fits).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
     return found.unionByName(verified(rest, sets, percent))
 
