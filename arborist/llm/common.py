@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,23 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: What a Python worker holds between batches: one operator's tables at a time.
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """A worker's tables under ``key``. Those of another operator or model are let go first."""
+    if key not in _HELD:
+        if _HELD:
+            import pyarrow as pa
+
+            _HELD.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

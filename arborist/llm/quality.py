@@ -35,14 +35,14 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from math import log
+from math import exp, log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import held, written
 from .words import sliced
 
 ORDER = 5
@@ -52,17 +52,18 @@ PRIOR_CHARS = 200
 BROADCAST_GRAMS = 1_500_000
 #: Trusted ids that may be broadcast (8 bytes each); beyond it, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 #: Characters of a word that count; a longer one is cut into words of that length.
 LONGEST = 48
 #: Probability of any character in a language without trusted text.
 UNKNOWN = 1e-3
+LOG_UNKNOWN = log(UNKNOWN)
 
 
 def tokens(text: str) -> list[str]:
     """Words of a whole text; words of over LONGEST characters in pieces."""
     out = text.split()
-    if any(len(w) > LONGEST for w in out):
+    if max(map(len, out), default=0) > LONGEST:
         out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
     return out
 
@@ -138,27 +139,39 @@ class Table:
     """The count shards of a model below the bound, in one task's memory."""
 
     def __init__(self, found: pa.Table):
+        #: log-probability of each n-gram with all its shorter ones mixed in; log-mass that a context leaves to the next
         self.p: dict[str, dict[str, float]] = {}
         self.b: dict[str, dict[str, float]] = {}
-        kinds: Counter = Counter()
-        for lang, ctx, ch, p, b in zip(*(found.column(n).to_pylist() for n in ("lang", "ctx", "ch", "p", "b"))):
-            self.p.setdefault(lang, {})[ctx + ch] = p
-            self.b.setdefault(lang, {})[ctx] = b
-            kinds[lang] += ctx == ""
-        self.uniform = {x: 1 / (n + 1) for x, n in kinds.items()}
+        lang, ctx, ch, p, b = (found.column(n).to_pylist() for n in ("lang", "ctx", "ch", "p", "b"))
+        kinds = Counter(x for x, y in zip(lang, ctx) if y == "")
+        self.uniform = {x: log(1 / (n + 1)) for x, n in kinds.items()}
+        for i in sorted(range(len(ctx)), key=lambda i: len(ctx[i])):
+            x, y, z = lang[i], ctx[i], ch[i]
+            self.b.setdefault(x, {})[y] = log(b[i]) if b[i] > 0 else -1e9
+            below = self._longest(self.p.get(x, {}), self.b[x], y[1:], z, self.uniform[x]) if y else self.uniform[x]
+            self.p.setdefault(x, {})[y + z] = log(p[i] + b[i] * exp(below))
         self.seen: dict[str, dict[str, float]] = {}
 
+    @staticmethod
+    def _longest(p: dict[str, float], b: dict[str, float], ctx: str, ch: str, floor: float) -> float:
+        """Log-probability by the longest context that has the n-gram; longer ones add their left mass."""
+        rest = 0.0
+        while True:
+            got = p.get(ctx + ch)
+            if got is not None:
+                return rest + got
+            rest += b.get(ctx, 0.0)
+            if not ctx:
+                return rest + floor
+            ctx = ctx[1:]
+
     def word(self, lang: str, w: str) -> float:
         """Log-probability of a word and its closing blank."""
-        p, b, floor, out = self.p.get(lang, {}), self.b.get(lang, {}), self.uniform.get(lang, UNKNOWN), 0.0
-        for ctx, ch in grams(w):
-            got, rest = 0.0, 1.0
-            for i in range(len(ctx) + 1):
-                left = b.get(ctx[i:])
-                if left is not None:
-                    got += rest * p.get(ctx[i:] + ch, 0.0)
-                    rest *= left
-            out += log(got + rest * floor)
+        p, b, floor, out = self.p.get(lang, {}), self.b.get(lang, {}), self.uniform.get(lang, LOG_UNKNOWN), 0.0
+        padded = f" {w} "
+        for i in range(2, len(padded) + 1):
+            got = p.get(padded[i - ORDER if i > ORDER else 0 : i])
+            out += got if got is not None else self._longest(p, b, padded[max(0, i - ORDER) : i - 1], padded[i - 1], floor)
         return out
 
     def documents(self, langs: list[str | None], texts: list[str | None]) -> list[tuple[float | None, int]]:
@@ -172,20 +185,14 @@ class Table:
                     seen[w] = self.word(lang or "", w)
             n = sum(map(len, words)) + len(words)
             out.append((-sum(map(seen.__getitem__, words)) / n if words else None, n))
-            if len(seen) > WORDS_KEPT:
-                seen.clear()
+            if sum(map(len, self.seen.values())) > WORDS_KEPT:
+                self.seen = {}
         return out
 
 
-_HELD: dict[str, Table] = {}
-
-
 def _table(key: str, data: bytes) -> Table:
     """A worker's table, built once for each model."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Table(pa.ipc.open_stream(data).read_all())
-    return _HELD[key]
+    return held(("quality", key), lambda: Table(pa.ipc.open_stream(data).read_all()))
 
 
 def word_scores_joined(words: DataFrame, fitted: DataFrame) -> DataFrame:
