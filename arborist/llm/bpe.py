@@ -24,15 +24,16 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import duckdb
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import held
+
 #: Distinct words of one generation; a worker keeps two, and those in use move on to the younger.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 #: Bytes of new words that one recursive query takes, unless a single word has more.
 QUERY_BYTES = 1_000_000
 #: Words of more bytes contract all pairs of the least rank in a step.
@@ -162,9 +163,8 @@ class Tokenizer:
         return split
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    return Tokenizer(path, pattern)
+    return held(("bpe", path, pattern), lambda: Tokenizer(path, pattern))
 
 
 def chunked(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str]]:
