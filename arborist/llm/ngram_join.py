@@ -52,7 +52,7 @@ CLASS_SHARE = {2: 0.05, 3: 0.15, 4: 0.2}
 #: Longs of a set's bitmap.
 MAPS = 8
 #: Shingles that one range of hashes holds, on average.
-RANGE = 2_000_000
+RANGE = 1_000_000
 BLOCK = "g long, sids binary, sizes binary, counts binary, toks binary"
 
 

@@ -99,7 +99,7 @@ def word_hashes(texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return _hashed(data, starts, ends), np.searchsorted(starts, bounds).astype(np.int64)
 
 
-def sliced(batch: pa.RecordBatch, column: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: int, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``most`` bytes; a longer text stands alone."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
