@@ -14,8 +14,9 @@ Largest inner product is turned into least distance: a vector x becomes
    into blocks by hash of the id, and its queries go to each block.
 4. A query searches all lists whose centroid distance is within a ratio
    ``1 + RATIO`` of its nearest, up to a share ``PROBE`` of the lists. Lists
-   and queries meet in a cogroup by (list, block); each gives a query's local
-   best, and a windowed merge keeps the k best. Scores are inner products of
+   and queries meet in a cogroup by (list, block), first the ``FIRST`` nearest
+   lists, then the others, which give only what reaches the k-th score so far;
+   a windowed merge keeps the k best. Scores are inner products of
    the original vectors in double precision, summed in order.
 
 Exact copies of one vector need only the k + 1 smallest ids to fill any
@@ -45,7 +46,7 @@ from .common import written
 
 SAMPLE, LIST, MOST_LISTS = 20_000, 128, 4096
 NEAR, COPIES = 0.03, 3
-RATIO, PROBE, LEAST_PROBES = 0.45, 0.35, 32
+RATIO, PROBE, LEAST_PROBES, FIRST = 0.45, 0.35, 32, 8
 BLOCK = 2_000
 DEGREE, BEAM = 24, 48
 
@@ -184,7 +185,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     sent = spark.sparkContext.broadcast(Graph(centroids(lifted(sample), lists)))
     probes = int(min(lists, max(LEAST_PROBES, probe * lists)))
 
-    def emit(batches: Iterator[pa.RecordBatch], move, width, most, least=1) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch], move, width, most, least=1, after=0) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -192,29 +193,48 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
                     ids, d = sent.value.search(move(matrix(part.column(1))), width)
                     keep = d <= d[:, :1] * (1 + most) + 1e-12
                     keep[:, :least] = True
+                    keep[:, :after] = False
                     r, c = np.nonzero(keep)
                     took = part.take(pa.array(r))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r, c], pa.int64()), took.column(0), took.column(1)], ["list", "id", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r, c], pa.int64()), *took.columns], ["list", *took.schema.names])
 
     kind = "list long, id long, x array<double>"
     posted = written(index.select("id", "x").mapInArrow(lambda b: emit(b, lifted, min(COPIES, lists), NEAR), kind), "postings")
     sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocked = posted.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("id"), "blocks").cast("long").alias("block"), "id", "x")
-    asking = asked.select("id", "x").mapInArrow(lambda b: emit(b, turned, probes, ratio, min(LEAST_PROBES, probes)), kind).join(F.broadcast(sizes), "list")
-    asking = asking.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "x")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             found = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         else:
-            q_id = right.column("id").to_numpy()
+            q_id, least = right.column("id").to_numpy(), right.column("least").to_numpy()
             r, ids, score = _local_best(matrix(right.column("x").combine_chunks()), q_id, matrix(left.column("x").combine_chunks()), left.column("id").to_numpy(), k)
-            found = q_id[r], ids, score
+            good = score >= least[r]
+            found = q_id[r[good]], ids[good], score[good]
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    local = blocked.groupBy("list", "block").cogroup(asking.groupBy("list", "block")).applyInArrow(meet, out_schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    merged = local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def search(who: DataFrame, width: int, after: int) -> DataFrame:
+        """Each query's bests of each block, from its lists ``after`` to ``width``; who: id, x, least (score)."""
+        lists_of = lambda b: emit(b, turned, width, ratio, min(LEAST_PROBES, width), after)
+        asking = who.select("id", "x", "least").mapInArrow(lists_of, f"{kind}, least double").join(F.broadcast(sizes), "list")
+        asking = asking.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "x", "least")
+        return blocked.groupBy("list", "block").cogroup(asking.groupBy("list", "block")).applyInArrow(meet, out_schema)
+
+    def top(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    # the nearest lists give each query a score that anything from its other lists must reach
+    lowest = F.lit(float("-inf"))
+    early = min(FIRST, probes)
+    first = written(top(search(asked.withColumn("least", lowest), early, 0)), "first-lists")
+    if probes == early:
+        return first.select("query_id", "rank", "vec_id", "score")
+    bound = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    rest = asked.join(bound, "id", "left").select("id", "x", F.coalesce("bound", lowest).alias("least"))
+    merged = top(search(rest, probes, early).unionByName(first.drop("rank")))
     return merged.select("query_id", "rank", "vec_id", "score")
 
 
