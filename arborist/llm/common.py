@@ -20,15 +20,20 @@ SPACES = " \t\n\x0b\x0c\r"
 _HELD: dict[Any, Any] = {}
 
 
+def let_go() -> None:
+    """Free the tables that a worker holds; called where a task that needs none of them begins."""
+    if _HELD:
+        import pyarrow as pa
+
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def held(key: Any, make: Callable[[], Any]) -> Any:
     """A worker's tables under ``key``. Those of another operator or model are let go first."""
     if key not in _HELD:
-        if _HELD:
-            import pyarrow as pa
-
-            _HELD.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+        let_go()
         _HELD[key] = make()
     return _HELD[key]
 

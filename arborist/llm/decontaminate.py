@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import let_go
 from .words import U, mix, sliced, word_hashes
 
 WINDOW, GROUPS, TOLERATED = 13, 4, 2
@@ -159,6 +160,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
             from pyspark.sql.pandas.types import to_arrow_type
 
             arrow = [pa.field("doc_id", to_arrow_type(kinds[0])), pa.field("item_id", to_arrow_type(kinds[1])), *(pa.field(n, pa.int64()) for n in ("first_word", "n_equal", "n_item_words"))]
+            let_go()
             for batch in batches:
                 for part in sliced(batch, 1):
                     found = sent.value.verified(*word_hashes(part.column(1), "mark"))
@@ -177,6 +179,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
         sent = docs.sparkSession.sparkContext.broadcast(table)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            let_go()
             for batch in batches:
                 for part in sliced(batch, batch.schema.names.index(text)):
                     keep = np.ones(part.num_rows, bool)

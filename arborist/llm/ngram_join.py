@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let_go, written
 from .words import U, mix, sliced, word_hashes
 
 RARE = 8
@@ -78,6 +78,7 @@ def signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, n, sid of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in sliced(batch, 1):
                 sets, sig = _sets(part, k)
@@ -114,6 +115,7 @@ def shared(docs: DataFrame, k: int, total: int, percent: int, doc_id: str, text:
     ranges = max(1, total // RANGE)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for number, batch in enumerate(batches):
             for part in sliced(batch, 1):
                 sets, sig = _sets(part, k)
@@ -137,6 +139,7 @@ def shared(docs: DataFrame, k: int, total: int, percent: int, doc_id: str, text:
                 yield from _blocks(g, np.where(w < 0, 0, sig[firsts][w]), np.where(w < 0, 0, size[w]), t).to_batches()
 
     def meet(key, group):
+        let_go()
         sid, n, c, tok = _unpacked(group)
         run = np.repeat(np.arange(len(c)), c)
         if key[0].as_py() < ranges:
@@ -158,6 +161,7 @@ def shared(docs: DataFrame, k: int, total: int, percent: int, doc_id: str, text:
         return _blocks(np.sort(bucket), sid[run[order]], n[run[order]], tok[order])
 
     def gather(key, group):
+        let_go()
         sid, n, c, tok = _unpacked(group)
         run = np.repeat(np.arange(len(c)), c)
         order = np.lexsort((tok, sid[run]))
@@ -222,6 +226,7 @@ def indexed(sets: DataFrame, percent: int) -> DataFrame:
     core = core.where(F.size("ts") * 100 >= F.col("n") * percent).select("sid", "n", F.col("ts.df").alias("df"), F.col("ts.t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for i in range(batch.num_rows):
                 sid, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()

@@ -32,17 +32,18 @@ repeated ids are scored row by row; extra columns pass through :func:`kept`.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from math import exp, log
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, written
+from .common import held, let_go, written
 from .words import sliced
 
 ORDER = 5
@@ -53,6 +54,8 @@ BROADCAST_GRAMS = 1_500_000
 #: Trusted ids that may be broadcast (8 bytes each); beyond it, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 WORDS_KEPT = 400_000
+#: N-grams turned to Python objects at once while a table is built.
+SLICE = 20_000
 #: Characters of a word that count; a longer one is cut into words of that length.
 LONGEST = 48
 #: Probability of any character in a language without trusted text.
@@ -78,6 +81,7 @@ def counted(texts: DataFrame) -> DataFrame:
     """lang, ctx, ch, c: raw counts of every n-gram that a position offers, at all orders. texts: lang, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in sliced(batch, 1):
                 seen: Counter = Counter()
@@ -142,14 +146,18 @@ class Table:
         #: log-probability of each n-gram with all its shorter ones mixed in; log-mass that a context leaves to the next
         self.p: dict[str, dict[str, float]] = {}
         self.b: dict[str, dict[str, float]] = {}
-        lang, ctx, ch, p, b = (found.column(n).to_pylist() for n in ("lang", "ctx", "ch", "p", "b"))
-        kinds = Counter(x for x, y in zip(lang, ctx) if y == "")
-        self.uniform = {x: log(1 / (n + 1)) for x, n in kinds.items()}
-        for i in sorted(range(len(ctx)), key=lambda i: len(ctx[i])):
-            x, y, z = lang[i], ctx[i], ch[i]
-            self.b.setdefault(x, {})[y] = log(b[i]) if b[i] > 0 else -1e9
-            below = self._longest(self.p.get(x, {}), self.b[x], y[1:], z, self.uniform[x]) if y else self.uniform[x]
-            self.p.setdefault(x, {})[y + z] = log(p[i] + b[i] * exp(below))
+        length = pc.utf8_length(found.column("ctx"))
+        self.uniform: dict[str, float] = {}
+        # shorter contexts first, in slices: only what stays is ever a Python object for long
+        for n in range(ORDER):
+            level = found.filter(pc.equal(length, n))
+            if n == 0:
+                self.uniform = {x: log(1 / (m + 1)) for x, m in Counter(level.column("lang").to_pylist()).items()}
+            for part in level.to_batches(max_chunksize=SLICE):
+                for x, y, z, p, b in zip(*(part.column(c).to_pylist() for c in ("lang", "ctx", "ch", "p", "b"))):
+                    self.b.setdefault(x, {})[y] = log(b) if b > 0 else -1e9
+                    below = self._longest(self.p.get(x, {}), self.b[x], y[1:], z, self.uniform[x]) if y else self.uniform[x]
+                    self.p.setdefault(x, {})[y + z] = log(p + b * exp(below))
         self.seen: dict[str, dict[str, float]] = {}
 
     @staticmethod
@@ -242,7 +250,8 @@ def scored(docs: DataFrame, fitted: DataFrame, most: int = BROADCAST_GRAMS, lang
     data = fitted.toArrow()
     with pa.ipc.new_stream(sink, data.schema) as f:
         f.write_table(data)
-    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    raw = sink.getvalue().to_pybytes()
+    key, sent = hashlib.sha256(raw).hexdigest(), docs.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
