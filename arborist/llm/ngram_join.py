@@ -17,7 +17,10 @@ link if 100 * intersection >= percent * union. The steps, each exact:
    shingle (at most ``RARE`` sets) is a key by itself; frequent ones are dealt
    by hash into classes, and each k of a class are a key, k being 2, 3 or 4 as
    frequency passes powers of ``RARE``; c shingles of a class take the loss of
-   c - k + 1 to leave no key. The number of classes follows the
+   c - k + 1 to leave no key. Where a set's shingles run out before that, it is
+   keyed again with k at most 3, then 2, then 1, which always suffices: two
+   such sets meet at the k where the first of them has keys enough, as all
+   shingles of the other are in its prefix there. The number of classes follows the
    size band; a set is indexed in its band and the next, so any two sets that
    may link share a band.
 4. Sets under one key don't meet all with all. In a first round each set meets
@@ -193,19 +196,23 @@ def prefix_keys(n: int, toks: np.ndarray, df: np.ndarray, percent: int, band: in
     kills = n - -(-percent * n // 100) + 1 - (n - len(toks))
     if kills <= 0:
         return []
-    least = (100 / percent) ** band
-    groups: dict[tuple[int, int], list[int]] = {}
-    out: list[tuple[int, ...]] = []
-    for t, f in zip(toks.tolist(), df.tolist()):
-        k = 1 if f <= RARE else 2 if f <= RARE**2 else 3 if f <= RARE**3 else 4
-        if k == 1:
-            out.append((t,))
-            kills -= 1
-        else:
-            members = groups.setdefault((k, t % max(1, int(least * CLASS_SHARE[k]))), [])
-            out += [(*c, t) for c in combinations(members, k - 1)]
-            members.append(t)
-            kills -= len(members) >= k
+    least, loss = (100 / percent) ** band, kills
+    out: dict[tuple[int, ...], None] = {}
+    for cap in (4, 3, 2, 1):
+        groups: dict[tuple[int, int], list[int]] = {}
+        kills = loss
+        for t, f in zip(toks.tolist(), df.tolist()):
+            k = min(cap, 1 if f <= RARE else 2 if f <= RARE**2 else 3 if f <= RARE**3 else 4)
+            if k == 1:
+                out[(t,)] = None
+                kills -= 1
+            else:
+                members = groups.setdefault((k, t % max(1, int(least * CLASS_SHARE[k]))), [])
+                out.update(((*c, t), None) for c in combinations(members, k - 1))
+                members.append(t)
+                kills -= len(members) >= k
+            if kills <= 0:
+                break
         if kills <= 0:
             break
     salt = U(band + 1)
