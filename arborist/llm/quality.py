@@ -22,11 +22,16 @@ Threshold. The trusted documents not trained on are scored; per language,
 is rejected if it lies well outside what trusted text of its language shows.
 Log-perplexities are shrunk to the language's median by ``PRIOR_CHARS``
 characters: chance moves those of short texts most.
-A language with fewer than ``FEWEST`` such documents takes the cut over all.
+A language with fewer than ``FEWEST`` such documents also scores the trusted
+documents it trained on, each fifth by a model of the other four. If even these
+are fewer, its own median stands, and the distance from there to the cut is at
+least that which the deviations of all languages from their medians show.
 
 Defined cases: null, empty or wordless texts have perplexity null and are kept
 (nothing speaks against them); a null language is a language of its own; null
-labels train nothing; without trusted text nothing is rejected; null and
+labels train nothing; in a language without trusted text the perplexity is null
+and nothing is rejected; a language with too little to score any of it, or to
+show a spread, has cut null and rejects nothing; null and
 repeated ids are scored row by row; extra columns pass through :func:`kept`.
 """
 
@@ -58,9 +63,6 @@ WORDS_KEPT = 400_000
 SLICE = 20_000
 #: Characters of a word that count; a longer one is cut into words of that length.
 LONGEST = 48
-#: Probability of any character in a language without trusted text.
-UNKNOWN = 1e-3
-LOG_UNKNOWN = log(UNKNOWN)
 
 
 def tokens(text: str) -> list[str]:
@@ -174,8 +176,8 @@ class Table:
             ctx = ctx[1:]
 
     def word(self, lang: str, w: str) -> float:
-        """Log-probability of a word and its closing blank."""
-        p, b, floor, out = self.p.get(lang, {}), self.b.get(lang, {}), self.uniform.get(lang, LOG_UNKNOWN), 0.0
+        """Log-probability of a word and its closing blank, in a language of the model."""
+        p, b, floor, out = self.p[lang], self.b[lang], self.uniform[lang], 0.0
         padded = f" {w} "
         for i in range(2, len(padded) + 1):
             got = p.get(padded[i - ORDER if i > ORDER else 0 : i])
@@ -183,15 +185,18 @@ class Table:
         return out
 
     def documents(self, langs: list[str | None], texts: list[str | None]) -> list[tuple[float | None, int]]:
-        """Log-perplexity per character of whole texts, and the characters scored."""
+        """Log-perplexity per character of whole texts, null in languages the model lacks, and their characters."""
         out: list[tuple[float | None, int]] = []
         for lang, text in zip(langs, texts):
             words = tokens(text or "")
+            n = sum(map(len, words)) + len(words)
+            if (lang or "") not in self.uniform:
+                out.append((None, n))
+                continue
             seen = self.seen.setdefault(lang or "", {})
             for w in set(words):
                 if w not in seen:
                     seen[w] = self.word(lang or "", w)
-            n = sum(map(len, words)) + len(words)
             out.append((-sum(map(seen.__getitem__, words)) / n if words else None, n))
             if sum(map(len, self.seen.values())) > WORDS_KEPT:
                 self.seen = {}
@@ -204,7 +209,7 @@ def _table(key: str, data: bytes) -> Table:
 
 
 def word_scores_joined(words: DataFrame, fitted: DataFrame) -> DataFrame:
-    """lang, w, lp of distinct words(lang, w) by joins with the count shards; any size of model."""
+    """lang, w, lp (null in languages the model lacks) of distinct words(lang, w) by joins with the count shards; any size of model."""
     at = F.col("at")
     padded = F.concat(F.lit(" "), "w", F.lit(" "))
     spots = words.select("lang", "w", padded.alias("s"), F.explode(F.sequence(F.lit(1), F.length("w") + 1)).alias("at"))
@@ -221,7 +226,7 @@ def word_scores_joined(words: DataFrame, fitted: DataFrame) -> DataFrame:
     )
     at_each = spots.select("lang", "w", "at").join(parts.select("lang", "w", "at", state.alias("z")), ["lang", "w", "at"], "left").join(uniform, "lang", "left")
     got, rest = F.coalesce("z.got", F.lit(0.0)), F.coalesce("z.rest", F.lit(1.0))
-    return at_each.groupBy("lang", "w").agg(F.sum(F.log(got + rest * F.coalesce("u", F.lit(UNKNOWN)))).alias("lp"))
+    return at_each.groupBy("lang", "w").agg(F.sum(F.log(got + rest * F.col("u"))).alias("lp"))
 
 
 def _tokenised(docs: DataFrame, lang: str, text: str) -> DataFrame:
@@ -263,9 +268,14 @@ def scored(docs: DataFrame, fitted: DataFrame, most: int = BROADCAST_GRAMS, lang
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(out, T.DoubleType()), T.StructField(f"{out}_chars", T.LongType())]))
 
 
+def fold(doc_id: Column) -> Column:
+    """The fifth, 0 to 4, that a document belongs to."""
+    return F.pmod(F.xxhash64(doc_id, F.lit("quality")), F.lit(5))
+
+
 def trained_on(doc_id: Column) -> Column:
     """Four fifths of trusted documents train; the rest set the cut."""
-    return F.pmod(F.xxhash64(doc_id, F.lit("quality")), F.lit(5)) != 0
+    return fold(doc_id) != 0
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -281,33 +291,49 @@ def classified(docs: DataFrame, labels: DataFrame, training: DataFrame | None =
     """``docs`` with log_perplexity, cut and keep. Trusted text comes from ``training`` (doc_id, lang, text), ``docs`` themselves by default."""
     good = trusted(docs if training is None else training, labels)
     fitted = written(model(good.where(trained_on(F.col("doc_id")))), "model")
-    clean = scored(good.where(~trained_on(F.col("doc_id"))), fitted, most).where("log_perplexity is not null")
-    clean = written(clean.select(F.coalesce("lang", F.lit("")).alias("lang"), "log_perplexity", "log_perplexity_chars"), "held-out")
-    half, high = F.percentile("log_perplexity", F.lit(0.5)), F.percentile("log_perplexity", F.lit(HIGH))
-    middle = _by_language(clean, half)
-    level = lambda df: (
-        (F.col("log_perplexity") * F.col("log_perplexity_chars") + PRIOR_CHARS * _value(middle)) / (F.col("log_perplexity_chars") + PRIOR_CHARS)
-    )
-    cuts = _by_language(clean.withColumn("log_perplexity", level(clean)), (1 - SLACK) * half + SLACK * high)
+    clean = _scores(good.where(~trained_on(F.col("doc_id"))), fitted, most)
+    enough = clean.groupBy("lang").count().where(F.col("count") >= FEWEST)
+    thin = [r["lang"] for r in fitted.select("lang").distinct().join(enough, "lang", "left_anti").collect()]
+    if thin:
+        few = written(good.where(F.coalesce("lang", F.lit("")).isin(thin)), "thin-languages")
+        for f in range(1, 5):
+            clean = clean.unionByName(_scores(few.where(fold(F.col("doc_id")) == f), written(model(few.where(fold(F.col("doc_id")) != f)), "model"), most))
+    half = F.percentile("log_perplexity", F.lit(0.5))
+    middle = {r["lang"]: r["v"] for r in clean.groupBy("lang").agg(half.alias("v")).collect()}
+    level = (F.col("log_perplexity") * F.col("log_perplexity_chars") + PRIOR_CHARS * _value(middle)) / (F.col("log_perplexity_chars") + PRIOR_CHARS)
+    level = F.coalesce(level, "log_perplexity")
+    cuts = _cuts(clean.withColumn("log_perplexity", level))
     out = scored(docs, fitted, most)
-    out = out.withColumn("log_perplexity", level(out)).drop("log_perplexity_chars").withColumn("cut", _value(cuts))
+    out = out.withColumn("log_perplexity", level).drop("log_perplexity_chars").withColumn("cut", _value(cuts))
     return out.withColumn("keep", F.coalesce(F.col("log_perplexity") <= F.col("cut"), F.lit(True)))
 
 
-def _by_language(clean: DataFrame, value: Column) -> dict[str | None, float | None]:
-    """A statistic of each language with enough rows, and of all rows under None. One short row a language comes to the driver."""
-    rows = clean.groupBy("lang").agg(value.alias("v"), F.count("*").alias("m")).where(F.col("m") >= FEWEST).collect()
-    return {None: clean.agg(value).first()[0], **{r["lang"]: r["v"] for r in rows}}
+def _scores(good: DataFrame, fitted: DataFrame, most: int) -> DataFrame:
+    """lang, log_perplexity, log_perplexity_chars of trusted documents that can be scored."""
+    clean = scored(good, fitted, most).where("log_perplexity is not null")
+    return written(clean.select(F.coalesce("lang", F.lit("")).alias("lang"), "log_perplexity", "log_perplexity_chars"), "held-out")
 
 
-def _value(by_language: dict[str | None, float | None]) -> Column:
-    out = F.lit(by_language[None]).cast("double")
-    for name, value in by_language.items():
-        if name is not None:
-            out = F.when(F.coalesce("lang", F.lit("")) == name, F.lit(value)).otherwise(out)
+def _cuts(clean: DataFrame) -> dict[str, float | None]:
+    """Each language's cut. One short row a language comes to the driver."""
+    half, high = F.percentile("log_perplexity", F.lit(0.5)), F.percentile("log_perplexity", F.lit(HIGH))
+    rows = clean.groupBy("lang").agg(half.alias("mid"), high.alias("high"), F.count("*").alias("m")).collect()
+    spread = None
+    if any(r["m"] < FEWEST for r in rows):
+        apart = F.col("log_perplexity") - _value({r["lang"]: r["mid"] for r in rows if r["m"] > 1})
+        spread = clean.select(apart.alias("log_perplexity")).agg(high).first()[0]
+    out = {}
+    for r in rows:
+        wide = (1 - SLACK) * r["mid"] + SLACK * r["high"]
+        out[r["lang"]] = wide if r["m"] >= FEWEST else None if spread is None else max(wide, r["mid"] + SLACK * spread)
     return out
 
 
+def _value(by_language: dict[str, float | None]) -> Column:
+    known = [F.lit(x) for name, value in by_language.items() if value is not None for x in (name, float(value))]
+    return F.try_element_at(F.create_map(*known), F.coalesce("lang", F.lit(""))) if known else F.lit(None).cast("double")
+
+
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with all columns, without the rejected documents."""
     return classified(docs, labels).where("keep").select(*docs.columns)

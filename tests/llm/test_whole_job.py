@@ -1,9 +1,12 @@
 """Inputs on which an operator once did less than its whole job."""
 
+import json
+import random
+
 import numpy as np
 import pytest
 
-from arborist.llm import ngram_join
+from arborist.llm import ann, chat_format, license_scan, ngram_join, quality, url_filter
 
 
 @pytest.mark.parametrize("percent", [80, 85])
@@ -22,3 +25,21 @@ def test_prefix_keys_of_frequent_shingles(percent):
             b = ngram_join._band(len(s), percent)
             keys.append([set(ngram_join.prefix_keys(len(s), s[order], f[order], percent, k)) for k in (b, b + 1)])
         assert any(p & q for p, q in ((keys[0][0], keys[1][0]), (keys[0][0], keys[1][1]), (keys[0][1], keys[1][0]))), n
+
+
+def test_quality_of_languages_with_little_trusted_text(spark):
+    """A language without trusted text rejects nothing; one with little has a cut at its own level."""
+    rnd = random.Random(6)
+    text = lambda words, n: " ".join(rnd.choice(words) for _ in range(n))
+    plain = ["the", "then", "there", "other", "hot", "tone"]
+    wild = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(3000)]
+    junk = lambda: " ".join("".join(rnd.choice("#$%&0189") for _ in range(6)) for _ in range(60))
+    rows = [(i, text(plain, 80), "en") for i in range(150)] + [(i, text(wild, 80), "rare") for i in range(200, 240)] + [(i, text(wild, 80), "rare") for i in range(240, 260)] + [(i, junk(), "rare") for i in range(260, 265)]
+    rows += [(i, text(plain, 80), None) for i in range(300, 310)] + [(i, text(plain, 80), "xx") for i in range(310, 320)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(150), *range(200, 240)]], "doc_id bigint, quality int, toxic int")
+    for most in (quality.BROADCAST_GRAMS, 0):
+        out = {r["doc_id"]: r for r in quality.classified(docs, labels, most=most).collect()}
+        assert all(out[i]["keep"] and out[i]["log_perplexity"] is None for i in range(300, 320))
+        assert sum(out[i]["keep"] for i in range(240, 260)) >= 19 and not any(out[i]["keep"] for i in range(260, 265))
+        assert out[240]["cut"] > out[0]["cut"]
