@@ -8,8 +8,9 @@ regexes, see ``license_rules``) run only on chunks of 64 words, cut at every
 40th word so that any match of up to 24 words lies whole in some chunk, and
 only if a chunk holds a rule's keyword: chunks join the fixed rule table by
 keyword. Detections of a document are put in order of start, longest first,
-then priority; one that lies within an earlier one is suppressed. That pass is
-a running maximum, so a text full of detections costs a sort, not pairs.
+then priority; one that lies within an earlier one of its own or a higher
+priority is suppressed. That pass is a running maximum for each priority, so a
+text full of detections costs a sort, not pairs.
 
 Defined cases: null and empty texts have no words, no labels and score 0; ids
 may be null or repeat, as rows are told apart by id and text, and equal rows
@@ -105,8 +106,11 @@ def detections(df: DataFrame) -> DataFrame:
         .dropDuplicates(["d", "t", "rule", "start", "end"])
     )
     order = Window.partitionBy("d", "t").orderBy("start", F.desc("end"), F.desc("priority"), "rule")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return seen.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("reach") < F.col("end"))).drop("reach", "rule", "priority")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    levels = sorted({r[4] for r in rules()})
+    reach = [F.max(F.when(F.col("priority") >= p, F.col("end"))).over(before).alias(f"reach{p}") for p in levels]
+    own = F.coalesce(*[F.when(F.col("priority") == p, F.col(f"reach{p}")) for p in levels])
+    return seen.select("*", *reach).where(own.isNull() | (own < F.col("end"))).select("d", "t", "label", "relevance", "start", "end")
 
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

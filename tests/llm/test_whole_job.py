@@ -43,3 +43,10 @@ def test_quality_of_languages_with_little_trusted_text(spark):
         assert all(out[i]["keep"] and out[i]["log_perplexity"] is None for i in range(300, 320))
         assert sum(out[i]["keep"] for i in range(240, 260)) >= 19 and not any(out[i]["keep"] for i in range(260, 265))
         assert out[240]["cut"] > out[0]["cut"]
+
+
+def test_license_notice_within_a_notice_of_less_priority(spark):
+    df = spark.createDataFrame([(0, "Copyright 2020 Acme. Licensed under the GPL 3. All rights reserved."), (1, "Licensed under the GPL 3")], "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in license_scan.op8(df).collect()}
+    assert (out[0]["labels"], out[0]["score"]) == ("all-rights-reserved,gpl-3", 1.0)
+    assert (out[1]["labels"], out[1]["score"]) == ("gpl-3", 1.0)
