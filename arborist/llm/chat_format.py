@@ -14,9 +14,11 @@ Every other message is plain. Calls and results meet in a hash join on
 (conv_id, id). Order is topological: a call's level is one more than the
 deepest call it depends on, its place (``order_turn``) is the latest turn
 among itself and those calls, and a result follows its call wherever it stood.
-Levels are relaxed along dependency edges round by round, each round written
-to the shared folder, until none changes or ``MAX_DEPTH`` is reached; a call
-that still rises lies on a cycle and is marked.
+Calls are placed round by round: those that wait for no call first, then those
+whose calls are all placed, until a round places none. What waits even then
+lies on a cycle or depends on one and is marked. There are as many rounds as
+levels, at any depth; each writes only the calls that still wait or that it
+places.
 
 One row per message, call and result goes out with its sort key
 (order_turn, phase, level, seq); nothing is collected per conversation, so one
@@ -33,13 +35,13 @@ turn is kept and never links; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 
-#: The longest chain of dependent calls that is ordered.
-MAX_DEPTH = 64
 KEYS = ("conv_id", "order_turn", "phase", "level", "seq")
 #: JSON schema types and the variant types they admit.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY.*$", "object": "^OBJECT.*$", "null": "^VOID$"}
@@ -64,24 +66,32 @@ def _json(messages: DataFrame) -> DataFrame:
 
 def _levels(calls: DataFrame) -> DataFrame:
     """calls (conv_id, id, turn, deps) with level, order_turn, cyclic."""
-    edges = calls.select("conv_id", "id", F.explode("deps").alias("dep"))
+    edges = calls.select("conv_id", "id", F.explode(F.array_distinct("deps")).alias("dep"))
     now = calls.select("conv_id", "id", F.lit(0).alias("level"), F.col("turn").alias("order_turn"))
+    edges = edges.join(calls.select("conv_id", F.col("id").alias("dep")), ["conv_id", "dep"])
     if not edges.head(1):
         return now.withColumn("cyclic", F.lit(False))
     edges = written(edges, "call-edges")
-    for depth in range(1, MAX_DEPTH + 2):
+    spark, folder, depth = calls.sparkSession, f"{shared_dir(calls.sparkSession)}/call-levels-{uuid.uuid4().hex}", 0
+    waits = edges.groupBy("conv_id", "id").agg(F.count("*").alias("waits"))
+    now = now.join(waits, ["conv_id", "id"], "left").withColumn("waits", F.coalesce("waits", F.lit(0).cast("long")))
+    while True:
+        now.write.parquet(f"{folder}/{depth}")
+        done = spark.read.schema(now.schema).parquet(f"{folder}/{depth}")
+        placed, open_ = done.where("waits = 0"), done.where("waits > 0")
+        if not open_.head(1) or not placed.head(1):
+            break
         up = (
-            edges.join(now.withColumnRenamed("id", "dep"), ["conv_id", "dep"])
+            edges.join(placed.select("conv_id", F.col("id").alias("dep"), "level", "order_turn"), ["conv_id", "dep"])
             .groupBy("conv_id", "id")
-            .agg((F.max("level") + 1).alias("l"), F.max("order_turn").alias("o"))
+            .agg((F.max("level") + 1).alias("l"), F.max("order_turn").alias("o"), F.count("*").alias("met"))
         )
-        level, turn = F.greatest("level", F.coalesce("l", F.lit(0))), F.greatest("order_turn", "o")
-        nxt = now.join(up, ["conv_id", "id"], "left").select("conv_id", "id", level.alias("level"), turn.alias("order_turn"), (level > F.col("level")).alias("rose"))
-        nxt = written(nxt, "call-levels")
-        now = nxt.drop("rose")
-        if not nxt.where("rose").head(1):
-            return now.withColumn("cyclic", F.lit(False))
-    return nxt.select("conv_id", "id", "level", "order_turn", F.col("rose").alias("cyclic"))
+        now = open_.join(up, ["conv_id", "id"], "left").select(
+            "conv_id", "id", F.greatest("level", F.coalesce("l", F.lit(0))).alias("level"), F.greatest("order_turn", "o").alias("order_turn"), (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")
+        )
+        depth += 1
+    every = spark.read.schema(done.schema).parquet(*(f"{folder}/{i}" for i in range(depth + 1))).where("waits = 0")
+    return every.unionByName(open_).select("conv_id", "id", "level", "order_turn", (F.col("waits") > 0).alias("cyclic"))
 
 
 def _wrong(calls: DataFrame, tools: DataFrame) -> DataFrame:

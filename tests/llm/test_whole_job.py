@@ -50,3 +50,15 @@ def test_license_notice_within_a_notice_of_less_priority(spark):
     out = {r["doc_id"]: r for r in license_scan.op8(df).collect()}
     assert (out[0]["labels"], out[0]["score"]) == ("all-rights-reserved,gpl-3", 1.0)
     assert (out[1]["labels"], out[1]["score"]) == ("gpl-3", 1.0)
+
+
+def test_chat_chain_of_any_depth(spark):
+    """A chain deeper than 64 is ordered; only cycles, and what depends on them, are marked."""
+    n = 70
+    call = lambda i, *deps: {"id": i, "name": "f", "arguments": {}, "depends_on": list(deps)}
+    rows = [(c, 0, "system", json.dumps({"tools": [{"name": "f"}]})) for c in (1, 2)]
+    rows += [(1, i + 1, "assistant", json.dumps({"tool_calls": [call(f"c{i}", *([f"c{i - 1}"] if i else []))]})) for i in range(n)]
+    rows += [(2, 1, "assistant", json.dumps({"tool_calls": [call("p", "q"), call("q", "p"), call("after", "p"), call("self", "self"), call("free", "gone"), call("two", "free", "free")]}))]
+    out = {(r["conv_id"], r["call_id"]): r for r in chat_format.op2(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).where("kind = 'call'").collect()}
+    assert [(out[1, f"c{i}"]["level"], out[1, f"c{i}"]["order_turn"], out[1, f"c{i}"]["status"]) for i in range(n)] == [(i, i + 1, "ok") for i in range(n)]
+    assert {k: out[2, k]["status"] for k in ("p", "q", "after", "self", "free", "two")} == {"p": "cyclic", "q": "cyclic", "after": "cyclic", "self": "cyclic", "free": "ok", "two": "ok"}
