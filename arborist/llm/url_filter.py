@@ -4,9 +4,10 @@ A page's labelled outcome is bad (1) or good (0). Rates are shrunk along a chain
 of beta-binomial priors: all pages -> public suffix -> registered domain ->
 host. At each level the prior's weight kappa is the moment estimate over that
 level's groups, and the posterior mean of one level is the prior mean of the
-next. A host is blocked if the lower posterior bound of its bad rate
-(mean - z sd) exceeds a limit: few outcomes shrink to the parent and block
-nothing.
+next. Every host of the pages has a posterior: without outcomes of its own it is
+the prior that the nearest level with outcomes gives. A host is blocked if the
+lower posterior bound of its bad rate (mean - z sd) exceeds a limit: few
+outcomes shrink to the parent.
 
 Counts per host are partially aggregated, so a host with a third of all pages
 is one row per task; levels above are aggregated from those counts. Pages are
@@ -66,8 +67,8 @@ def with_levels(df: DataFrame) -> DataFrame:
 
 
 def _kappa(groups: DataFrame) -> float:
-    """The weight of the prior over ``groups`` (n, bad), by moments; one row comes to the driver."""
-    k, n, x, sq, between = groups.agg(
+    """The weight of the prior over those of ``groups`` (n, bad) with outcomes, by moments; one row comes to the driver."""
+    k, n, x, sq, between = groups.where("n > 0").agg(
         F.count("*"), F.sum("n"), F.sum("bad"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("bad") * F.col("bad") / F.col("n"))
     ).first()
     if not n or not 0 < x < n or k < 2:
@@ -78,9 +79,10 @@ def _kappa(groups: DataFrame) -> float:
     return 1 / min(max(rho, 1e-4), 0.5) - 1
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n, bad, mean, low from outcomes(host, bad 0/1): one row for each labelled host."""
-    hosts = with_levels(outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
+def reputation(outcomes: DataFrame, pages: DataFrame) -> DataFrame:
+    """host, n, bad, mean, low from outcomes(host, bad 0/1): one row for each host of pages(host)."""
+    counts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    hosts = with_levels(pages.select("host").distinct().join(counts, "host", "left").fillna(0, ["n", "bad"]))
     hosts = written(hosts, "host-counts")
     n, bad = hosts.agg(F.sum("n"), F.sum("bad")).first()
     parent, mean = None, F.lit((bad or 0) / n if n else 0.0)
@@ -101,7 +103,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str,
     url = F.col("url")
     split = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).fillna("", ["host", "path"])
     worst = labels.groupBy("page_id").agg(F.max(F.coalesce("bad", F.lit(0))).alias("bad"))
-    blocked = reputation(split.join(worst, "page_id").select("host", "bad")).where((F.col("low") > limit) & (F.col("host") != "")).select("host", F.lit(True).alias("ill"))
+    blocked = reputation(split.join(worst, "page_id").select("host", "bad"), split).where((F.col("low") > limit) & (F.col("host") != "")).select("host", F.lit(True).alias("ill"))
     host, path = F.col("host"), F.col("path")
     return split.join(blocked, "host", "left").select(
         "page_id",

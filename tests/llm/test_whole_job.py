@@ -62,3 +62,11 @@ def test_chat_chain_of_any_depth(spark):
     out = {(r["conv_id"], r["call_id"]): r for r in chat_format.op2(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).where("kind = 'call'").collect()}
     assert [(out[1, f"c{i}"]["level"], out[1, f"c{i}"]["order_turn"], out[1, f"c{i}"]["status"]) for i in range(n)] == [(i, i + 1, "ok") for i in range(n)]
     assert {k: out[2, k]["status"] for k in ("p", "q", "after", "self", "free", "two")} == {"p": "cyclic", "q": "cyclic", "after": "cyclic", "self": "cyclic", "free": "ok", "two": "ok"}
+
+
+def test_url_host_without_outcomes_takes_its_domains(spark):
+    urls = [f"http://h{i % 30}.bad.test/{i}" for i in range(600)] + [f"http://h{i % 30}.good.test/{i}" for i in range(600)] + ["http://new.bad.test/1", "http://new.good.test/1", "http://new.unseen/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(i >= 600), 0) for i in range(1200)], "doc_id bigint, quality int, toxic int")
+    out = {r["page_id"]: r["verdict"] for r in url_filter.op6(pages, labels).collect()}
+    assert [out[i] for i in (0, 600, 1200, 1201, 1202)] == ["block", "allow", "block", "allow", "allow"]
