@@ -78,16 +78,16 @@ def _sets(part: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, sid of every row."""
+    """doc_id, n, sid, t (hash of the text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
             for part in sliced(batch, 1):
                 sets, sig = _sets(part, k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig)], ["doc_id", "n", "sid"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig), part.column(2)], ["doc_id", "n", "sid", "t"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n long, sid long")
+    return docs.select(doc_id, text, F.xxhash64(text)).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n long, sid long, t long")
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +297,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def grouped(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, sid of every row."""
+    """doc_id, n_shingles, component_id, sid, t, group (its least set; null for the empty set) of every row."""
     rows = written(signatures(docs, k, doc_id, text), "signatures")
     total = rows.agg(F.sum("n")).first()[0] or 0
     sets = written(shared(docs, k, total, percent, doc_id, text), "sets")
@@ -305,16 +305,30 @@ def grouped(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_i
     least = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     linked = written(least.join(label, "sid"), "linked")
     groups = linked.groupBy("label").agg(F.min("least").alias("group"))
-    ids = least.join(linked.select("sid", "label").join(groups, "label"), "sid", "left").select("sid", F.coalesce("group", "least").alias("component_id"))
+    ids = least.join(linked.select("sid", "label").join(groups, "label"), "sid", "left").select("sid", F.coalesce("group", "least").alias("component_id"), F.coalesce("label", "sid").alias("group"))
     out = rows.join(ids, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sid")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sid", "t", "group")
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with all columns, one row of each group: the one with the group's least id."""
-    ids = grouped(docs, k, percent, doc_id, text)
-    gone = ids.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    """``docs`` with all columns, one row of each group: the one with the group's least id.
+
+    Rows are told apart by id and text, so ids may be null, repeat or clash; of
+    equal rows any one stays. Rows of the empty set are no one's copies and all stay.
+    """
+    ids = grouped(docs, k, percent, doc_id, text).where("n_shingles > 0").groupBy("group", "doc_id", "t").agg(F.count("*").alias("rows"))
+    ids = written(ids, "groups")
+    # non-null ids first; ties of a clashing id by text
+    firsts = ids.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("f"), F.count("*").alias("keys")).where("keys > 1")
+    others = ids.join(firsts, "group").where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t") == F.col("f.t"))))
+    key = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
+    same = lambda df: F.col(doc_id).eqNullSafe(df["__id"]) & (F.xxhash64(text) == df["__t"])
+    gone, again = key(others), key(ids.where("rows > 1"))
+    out = docs.join(gone, same(gone), "left_anti")
+    if not again.head(1):
+        return out
+    once = out.join(again, same(again), "left_semi").withColumn("__t", F.xxhash64(text)).dropDuplicates([doc_id, "__t"]).drop("__t")
+    return out.join(again, same(again), "left_anti").unionByName(once)
 
 
 def op3(docs: DataFrame) -> DataFrame:

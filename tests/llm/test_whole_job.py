@@ -70,3 +70,12 @@ def test_url_host_without_outcomes_takes_its_domains(spark):
     labels = spark.createDataFrame([(i, int(i >= 600), 0) for i in range(1200)], "doc_id bigint, quality int, toxic int")
     out = {r["page_id"]: r["verdict"] for r in url_filter.op6(pages, labels).collect()}
     assert [out[i] for i in (0, 600, 1200, 1201, 1202)] == ["block", "allow", "block", "allow", "allow"]
+
+
+def test_representatives_of_null_repeated_and_clashing_ids(spark):
+    """One row of each group stays, whatever its ids."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a, 0), (1, a, 0), (None, a, 0), (2, b, 0), (2, f"{a} end", 0), (5, f"{b} end", 0), (None, c, 0), (None, c, 0), (7, d, 0), (8, d, 0), (9, None, 0), (None, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, t int")
+    out = sorted((str(r["doc_id"]), r["text"] or "") for r in ngram_join.representatives(docs).collect())
+    assert out == sorted([("1", a), ("2", b), ("None", c), ("7", d), ("9", ""), ("None", "")])
