@@ -26,7 +26,8 @@ all rows becomes k + 1 rows. ``PROBE`` is measured, not assumed: see README.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do those whose length differs from the commonest;
-rows that repeat an id are indexed each, but a query never meets its own
+rows that repeat an id and its vector count once, those that repeat an id with
+another vector are indexed each, but a query never meets its own
 id and an answer names an id once, with its best score; fewer
 candidates than k give all of them; no queries give no rows; extra columns are
 ignored.
@@ -142,19 +143,27 @@ def dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _local_best(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score): each query's k best of one block, ties to the smaller id."""
+    """(query row, id, score): each query's k best ids of one block, each with its best score, ties to the smaller id."""
     out = []
+    by_id = np.argsort(x_id, kind="stable")
+    x, x_id = x[by_id], x_id[by_id]
+    starts = np.flatnonzero(np.concatenate([[True], x_id[1:] != x_id[:-1]])) if len(x_id) else np.zeros(0, np.int64)
     for i in range(0, len(q), 256):
         s = q[i : i + 256] @ x.T
         s[q_id[i : i + 256, None] == x_id[None, :]] = -np.inf
-        if s.shape[1] > k:
-            least = np.partition(s, -k, axis=1)[:, -k] - 1e-9 * np.maximum(1, np.abs(s[np.isfinite(s)]).max(initial=0))
+        if len(starts) > k:
+            best = s if len(starts) == s.shape[1] else np.maximum.reduceat(s, starts, axis=1)
+            least = np.partition(best, -k, axis=1)[:, -k] - 1e-9 * np.maximum(1, np.abs(s[np.isfinite(s)]).max(initial=0))
             r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
         else:
             r, c = np.nonzero(np.isfinite(s))
         score = dot(q[i + r], x[c])
         order = np.lexsort((x_id[c], -score, r))
         r, c, score = r[order], c[order], score[order]
+        if len(starts) < len(x_id):
+            _, once = np.unique(np.stack([r, x_id[c]]), axis=1, return_index=True)
+            once.sort()
+            r, c, score = r[once], c[once], score[once]
         place = np.arange(len(r)) - np.searchsorted(r, r)
         out.append((i + r[place < k], x_id[c[place < k]], score[place < k]))
     return tuple(np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
@@ -166,6 +175,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     rows = usable(vectors, vec_id, vector)
     asked = usable(queries, vec_id, vector)
     copy = Window.partitionBy(F.xxhash64("x"), "x").orderBy("id")
+    rows = rows.dropDuplicates(["id", "x"])
     index = written(rows.withColumn("n", F.row_number().over(copy)).where(F.col("n") <= k + 1).drop("n"), "vectors")
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     n, radius = index.agg(F.count("*"), F.max(norm)).first()

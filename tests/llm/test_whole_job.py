@@ -79,3 +79,27 @@ def test_representatives_of_null_repeated_and_clashing_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, t int")
     out = sorted((str(r["doc_id"]), r["text"] or "") for r in ngram_join.representatives(docs).collect())
     assert out == sorted([("1", a), ("2", b), ("None", c), ("7", d), ("9", ""), ("None", "")])
+
+
+def test_ann_of_repeated_rows(spark):
+    """Repeated rows change no answer."""
+    x = np.random.default_rng(3).normal(size=(120, 8))
+    x[41:61] = x[40]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    for many in (rows * 3, rows + [rows[40]] * 25):
+        out = ann.op10(spark.createDataFrame(many, "vec_id bigint, embedding array<double>")).collect()
+        for q in range(0, 120, 20):
+            s = sorted((-float(np.dot(x[q], x[j])), j) for j in range(120) if j != q)[:20]
+            mine = sorted((r["rank"], r["vec_id"]) for r in out if r["query_id"] == q)
+            assert [r for r, _ in mine] == list(range(1, 21)) and len({j for _, j in mine} & {j for _, j in s}) == 20
+
+
+def test_ann_block_keeps_distinct_ids():
+    x = np.random.default_rng(4).normal(size=(30, 4))
+    q = np.random.default_rng(5).normal(size=(5, 4))
+    ids = np.arange(30)
+    once = ann._local_best(q, np.full(5, -1), x, ids, 10)
+    thrice = ann._local_best(q, np.full(5, -1), np.concatenate([x, 0.5 * x, x]), np.concatenate([ids] * 3), 10)
+    best = np.maximum(q @ x.T, 0.5 * q @ x.T)
+    assert len(once[0]) == len(thrice[0]) == 50
+    assert [set(thrice[1][thrice[0] == i]) for i in range(5)] == [set(np.argsort(-best[i])[:10]) for i in range(5)]
