@@ -3,11 +3,13 @@
 A document is the set of its distinct k-word shingles, as 64-bit hashes. Two
 link if 100 * intersection >= percent * union. The steps, each exact:
 
-1. Equal sets are one *set* (64-bit signature); copies never meet in pairs.
+1. Equal sets are one *set* (64-bit signature, held against a second one; where
+   two different sets have the same, theirs is replaced); copies never meet in pairs.
 2. Only shingles of two or more sets can be shared. Tasks send each distinct
    shingle of a slice once to a range of hashes: with its set if one set of
    the slice has it, else as a mere mark, its sets being known to share it.
-   So a shingle in a third of all documents is one entry per slice. A set
+   So a shingle in a third of all documents is one entry per slice. What goes
+   out is packed: a set's signature once for its shingles in a range. A set
    whose shared shingles fall short of ``percent`` of its size links with
    nothing and is dropped; the rest carry all of their shared shingles, which
    decide every intersection.
@@ -43,10 +45,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, written
+from .common import discard, let_go, written
 from .words import U, mix, sliced, word_hashes
 
 RARE = 8
@@ -56,7 +59,11 @@ CLASS_SHARE = {2: 0.05, 3: 0.15, 4: 0.2}
 MAPS = 8
 #: Shingles that one range of hashes holds, on average.
 RANGE = 1_000_000
-BLOCK = "g long, sids binary, sizes binary, counts binary, toks binary"
+#: Pairs of one set that are verified in one task.
+PAIRS = 2_000
+#: Sets with more pairs than that which may be broadcast (16 bytes each).
+BROADCAST_HUBS = 1_000_000
+BLOCK = "g long, sids binary, counts binary, toks binary"
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -69,25 +76,40 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _sets(part: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sets of a slice's texts and their signatures (0: empty)."""
+def _signature(sets: list[np.ndarray], salt: int) -> np.ndarray:
+    """A hash of each set: 0 if empty, else odd."""
+    return np.array([int(mix(mix(s + U(salt)).sum(dtype=U, keepdims=True) + U(len(s)))[0] | U(1)) if len(s) else 0 for s in sets], U).view(np.int64)
+
+
+def _sets(part: pa.RecordBatch, k: int, clashing: frozenset[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sets of a slice's texts and their signatures: the second one where the first is among ``clashing``."""
     words, o = word_hashes(part.column(1), "space")
     sets = [shingles(words[o[i] : o[i + 1]], k) for i in range(part.num_rows)]
-    sig = np.array([int(mix(mix(s + U(1)).sum(dtype=U, keepdims=True) + U(len(s)))[0] | U(1)) if len(s) else 0 for s in sets], U)
-    return sets, sig.view(np.int64)
+    sig = _signature(sets, 1)
+    again = [i for i, x in enumerate(sig.tolist()) if x in clashing] if clashing else []
+    if again:
+        sig[again] = _signature([sets[i] for i in again], 2)
+    return sets, sig
 
 
-def signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, sid, t (hash of the text) of every row."""
+def signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> tuple[DataFrame, frozenset[int]]:
+    """doc_id, n, sid, t (hash of the text) of every row; first signatures that different sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
             for part in sliced(batch, 1):
-                sets, sig = _sets(part, k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig), part.column(2)], ["doc_id", "n", "sid", "t"])
+                sets, sig = _sets(part, k, frozenset())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig), pa.array(_signature(sets, 2)), part.column(2)], ["doc_id", "n", "sid", "sid2", "t"])
 
-    return docs.select(doc_id, text, F.xxhash64(text)).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n long, sid long, t long")
+    rows = docs.select(doc_id, text, F.xxhash64(text)).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n long, sid long, sid2 long, t long")
+    rows = written(rows, "signatures")
+    # chance makes a few of these among 10^10 sets
+    clashes = rows.groupBy("sid").agg(F.min("sid2").alias("lo"), F.max("sid2").alias("hi")).where("lo < hi").select("sid")
+    clashing = frozenset(r["sid"] for r in clashes.toLocalIterator())
+    if clashing:
+        rows = rows.withColumn("sid", F.when(F.col("sid").isin(*clashing), F.col("sid2")).otherwise(F.col("sid")))
+    return rows.drop("sid2"), clashing
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,38 +118,47 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(key)]]))
 
 
-def _blocks(g: np.ndarray, sid: np.ndarray, n: np.ndarray, tok: np.ndarray) -> pa.Table:
+def _blocks(g: np.ndarray, sid: np.ndarray, tok: np.ndarray) -> pa.Table:
     """One row for each run of g; sets are runs of sid within it."""
     rows: list[tuple] = []
     for a, length in zip(*_runs(g)):
         part = slice(a, a + length)
         s, c = _runs(sid[part])
-        rows.append((int(g[a]), sid[part][s].tobytes(), n[part][s].tobytes(), c.tobytes(), tok[part].tobytes()))
-    cols = list(zip(*rows)) or [()] * 5
-    return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["g", "sids", "sizes", "counts", "toks"])
+        rows.append((int(g[a]), sid[part][s].tobytes(), c.astype(np.uint32).tobytes(), tok[part].tobytes()))
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["g", "sids", "counts", "toks"])
+
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
 
+def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Set and shingle of each entry of a group of blocks."""
+    sid, c = _joined(group.column("sids"), np.int64), _joined(group.column("counts"), np.uint32)
+    return np.repeat(sid, c), _joined(group.column("toks"), U)
 
-def _unpacked(group: pa.Table) -> tuple[np.ndarray, ...]:
-    """sid, n and count of each set's run, and all shingles, of a group of blocks."""
-    joined = [b"".join(group.column(c).to_pylist()) for c in ("sids", "sizes", "counts", "toks")]
-    return tuple(np.frombuffer(x, U if i == 3 else np.int64) for i, x in enumerate(joined))
 
+def _bucket(sid: np.ndarray, ranges: int) -> np.ndarray:
+    return (mix(sid.view(U)) % U(ranges)).astype(np.int64)
 
-def shared(docs: DataFrame, k: int, total: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """sid, n, toks: sets of which ``percent`` or more of the shingles are shared, with those."""
+
+def shared(docs: DataFrame, rows: DataFrame, clashing: frozenset[int], k: int, total: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """sid, n, toks: sets of which ``percent`` or more of the shingles are shared, with those. rows: as :func:`signatures` gives them."""
     ranges = max(1, total // RANGE)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for number, batch in enumerate(batches):
             for part in sliced(batch, 1):
-                sets, sig = _sets(part, k)
+                sets, sig = _sets(part, k, clashing)
                 _, firsts = np.unique(sig, return_index=True)
                 firsts = firsts[sig[firsts] != 0]
                 if not len(firsts):
                     continue
                 size = np.array([len(sets[i]) for i in firsts])
                 tok, own = np.concatenate([sets[i] for i in firsts]), np.repeat(np.arange(len(firsts)), size)
+                del sets
                 order = np.argsort(tok)
                 tok, own = tok[order], own[order]
                 starts, times = _runs(tok)
@@ -139,40 +170,50 @@ def shared(docs: DataFrame, k: int, total: int, percent: int, doc_id: str, text:
                 g[len(t) - many.sum() :] = ranges + (number + sig[firsts][own[many]]) % ranges
                 order = np.lexsort((w, g))
                 t, w, g = t[order], w[order], g[order]
-                yield from _blocks(g, np.where(w < 0, 0, sig[firsts][w]), np.where(w < 0, 0, size[w]), t).to_batches()
+                yield from _blocks(g, np.where(w < 0, 0, sig[firsts][w]), t).to_batches()
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signatures and sizes for :func:`gather`, as blocks without shingles."""
+        for batch in batches:
+            sid, n = (batch.column(i).to_numpy() for i in (0, 1))
+            bucket = _bucket(sid, ranges)
+            order = np.argsort(bucket, kind="stable")
+            made = [(int(bucket[order[a]]), sid[order[a : a + c]].tobytes(), n[order[a : a + c]].tobytes(), None) for a, c in zip(*_runs(bucket[order]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), *[pa.binary()] * 3))] if made else [pa.array([], t) for t in (pa.int64(), *[pa.binary()] * 3)], ["g", "sids", "counts", "toks"])
 
     def meet(key, group):
         let_go()
-        sid, n, c, tok = _unpacked(group)
-        run = np.repeat(np.arange(len(c)), c)
+        own, tok = _unpacked(group)
         if key[0].as_py() < ranges:
             order = np.argsort(tok)
             s, times = _runs(tok[order])
             order = order[np.repeat(times > 1, times)]
-            order = order[np.lexsort((sid[run[order]], tok[order]))]
-            t, i = tok[order], sid[run[order]]
+            order = order[np.lexsort((own[order], tok[order]))]
+            t, i = tok[order], own[order]
             new = np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (i[1:] == 0)]) if len(t) else np.zeros(0, bool)
             order, t = order[new], t[new]
             s, times = _runs(t)
             order = order[np.repeat(times > 1, times)]
-            order = order[sid[run[order]] != 0]
-        else:
-            order = np.arange(len(tok))
-        own = sid[run[order]]
-        bucket = (mix(own.view(U)) % U(ranges)).astype(np.int64)
-        order = order[np.lexsort((own, bucket))]
-        return _blocks(np.sort(bucket), sid[run[order]], n[run[order]], tok[order])
+            order = order[own[order] != 0]
+            own, tok = own[order], tok[order]
+        bucket = _bucket(own, ranges)
+        order = np.lexsort((own, bucket))
+        return _blocks(bucket[order], own[order], tok[order])
 
     def gather(key, group):
         let_go()
-        sid, n, c, tok = _unpacked(group)
-        run = np.repeat(np.arange(len(c)), c)
-        order = np.lexsort((tok, sid[run]))
-        own, t = sid[run[order]], tok[order]
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (own[1:] != own[:-1])])
-        order, own, t = order[new], own[new], t[new]
+        known = pa.compute.is_null(group.column("toks"))
+        table = group.filter(known)
+        every, size_of = _joined(table.column("sids"), np.int64), _joined(table.column("counts"), np.int64)
+        order = np.argsort(every)
+        every, size_of = every[order], size_of[order]
+        own, t = _unpacked(group.filter(pa.compute.invert(known)))
+        order = np.lexsort((t, own))
+        own, t = own[order], t[order]
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (own[1:] != own[:-1])]) if len(t) else np.zeros(0, bool)
+        own, t = own[new], t[new]
         s, length = _runs(own)
-        size = n[run[order]][s]
+        size = size_of[np.searchsorted(every, own[s])]
         keep = length * 100 >= size * percent
         t = t[np.repeat(keep, length)]
         ends = np.concatenate([[0], np.cumsum(length[keep])])
@@ -181,7 +222,9 @@ def shared(docs: DataFrame, k: int, total: int, percent: int, doc_id: str, text:
 
     blocks = docs.select(doc_id, text).mapInArrow(send, BLOCK)
     parts = blocks.groupBy("g").applyInArrow(meet, BLOCK)
-    return parts.groupBy("g").applyInArrow(gather, "sid long, n long, toks array<long>")
+    # a third of all rows may be copies: partial aggregation leaves a row per task
+    known = rows.where("n > 0").groupBy("sid").agg(F.max("n").alias("n")).mapInArrow(sizes, BLOCK)
+    return parts.unionByName(known).groupBy("g").applyInArrow(gather, "sid long, n long, toks array<long>")
 
 
 def _band(n: int, percent: int) -> int:
@@ -251,12 +294,26 @@ def indexed(sets: DataFrame, percent: int) -> DataFrame:
     return core.mapInArrow(run, "key long, sid long, n long, m long, own boolean, " + ", ".join(f"{x} long" for x in maps_))
 
 
+def _dealt(pairs: DataFrame, side: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``pairs`` and ``side`` with what they join on: a set of many pairs is copied to as many tasks as they need."""
+    hubs = written(pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS).alias("tasks")).where("tasks > 1"), "hubs")
+    many = hubs.count()
+    if not many:
+        return pairs, side, [key]
+    hubs = F.broadcast(hubs) if many <= BROADCAST_HUBS else hubs
+    task, other, none = f"task_{key}", "b" if key == "a" else "a", F.lit(0).cast("long")
+    pairs = pairs.join(hubs, key, "left").withColumn(task, F.coalesce(F.pmod(F.xxhash64(other), "tasks"), none)).drop("tasks")
+    side = side.join(hubs, key, "left").withColumn(task, F.explode(F.sequence(none, F.coalesce(F.col("tasks") - 1, none)))).drop("tasks")
+    return pairs, side, [key, task]
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among pairs (a, b), by exact intersections."""
-    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
+    pairs = written(pairs, "pairs")
+    pairs, left, on_a = _dealt(pairs, sets.toDF("a", "na", "ta"), "a")
+    pairs, right, on_b = _dealt(pairs, sets.toDF("b", "nb", "tb"), "b")
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
+    return pairs.join(left, on_a).join(right, on_b).where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -270,13 +327,16 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("v").alias("label"), F.col("label").alias("up"))
         nxt = step.join(jump, "label", "left").select("v", F.least("label", "up").alias("label"), (F.least("label", "up") < F.col("before")).alias("moved"))
         nxt = written(nxt, "labels")
-        now = nxt.drop("moved")
+        discard(now, step)
         if not nxt.where("moved").head(1):
-            return now
+            discard(edges)
+            return nxt.drop("moved")
+        now = written(nxt.drop("moved"), "labels")
+        discard(nxt)
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets that join everything that links, directly or through others."""
+    """Links (a, b) between sets that join everything that links, directly or through others; written, ``sets`` being free to go."""
     index = written(indexed(sets, percent), "index")
     hubs = index.groupBy("key").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), F.col("sid"))).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", F.col("h.sid").alias("hub"))
     votes = index.join(hubs, "key").where("sid <> hub").groupBy("sid", "hub").agg(F.count("*").alias("votes"))
@@ -285,6 +345,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     labelled = index.join(components(found).withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_ = written(labelled.join(mixed, "key"), "open")
+    discard(index)
     l, r = open_.alias("l"), open_.alias("r")
     fits = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label"))
     # each bit that one bitmap lacks is a shingle that the sets don't share: a bound of the intersection
@@ -293,15 +354,19 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     fits &= F.col("l.own") | F.col("r.own")
     fits &= most * 100 >= (F.col("l.n") + F.col("r.n") - most) * percent
     rest = l.join(r, fits).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
-    return found.unionByName(verified(rest, sets, percent))
+    every = written(found.unionByName(verified(rest, sets, percent)), "links")
+    discard(found, open_)
+    return every
 
 
 def grouped(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, sid, t, group (its least set; null for the empty set) of every row."""
-    rows = written(signatures(docs, k, doc_id, text), "signatures")
+    rows, clashing = signatures(docs, k, doc_id, text)
     total = rows.agg(F.sum("n")).first()[0] or 0
-    sets = written(shared(docs, k, total, percent, doc_id, text), "sets")
-    label = components(links(sets, percent)).withColumnRenamed("v", "sid")
+    sets = written(shared(docs, rows, clashing, k, total, percent, doc_id, text), "sets")
+    found = links(sets, percent)
+    discard(sets)
+    label = components(found).withColumnRenamed("v", "sid")
     least = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     linked = written(least.join(label, "sid"), "linked")
     groups = linked.groupBy("label").agg(F.min("least").alias("group"))
