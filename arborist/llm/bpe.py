@@ -5,16 +5,24 @@ the vocabulary and the merge table of a public rank file. A partition's texts
 are split by the pre-token pattern; distinct words not seen by the worker go
 to DuckDB as token-position rows. A recursive query joins adjacent tokens with
 the merge table and contracts each word's minimum-rank pair, leftmost first,
-until no pair is left. In words of over 64 bytes, equal pairs are contracted in
-one step (leftmost first among overlapping ones), unless the merged token could
-take part in a merge of a lower rank; then only the leftmost is, so the result
-is always that of one merge at a time. Decoding joins id-position rows with the
-vocabulary and aggregates bytes in order of position.
+until no pair is left. Decoding joins id-position rows with the vocabulary and
+aggregates bytes in order of position.
+
+Words of over 64 bytes are cut first where no token of the vocabulary that
+stands in the word reaches across: no merge can cross there, so the pieces are
+words of their own. In pieces that are still that long, equal pairs are
+contracted in one step (leftmost first among overlapping ones), unless the
+merged token could take part in a merge of a lower rank; then only the leftmost
+is, so the result is always that of one merge at a time. Their recursion is
+keyed by position and so holds the current step only: memory is in proportion
+to the word, whatever the number of steps.
 
 Words already encoded are kept in a bounded table per worker, which is emptied
-when full; batches are bounded by bytes. Nothing is shuffled.
+when full; a query takes a bounded number of token rows over all its steps.
+Nothing is shuffled.
 
-Defined cases: null and empty texts have no tokens; lone or repeated rows are
+Defined cases: null and empty texts have no tokens; a word may be as long as
+its text; lone or repeated rows are
 independent of each other; decoding an id outside the vocabulary or a null id
 list gives null; extra columns pass through or are ignored.
 """
@@ -26,6 +34,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,9 +43,9 @@ from .common import held
 
 #: Distinct words of one generation; a worker keeps two, and those in use move on to the younger.
 WORDS_KEPT = 200_000
-#: Bytes of new words that one recursive query takes, unless a single word has more.
-QUERY_BYTES = 1_000_000
-#: Words of more bytes contract all pairs of the least rank in a step.
+#: Token rows that all steps of one recursive query may hold, unless a single word needs more.
+QUERY_ROWS = 4_000_000
+#: Words of more bytes are cut, and contract all pairs of the least rank in a step.
 SHORT = 64
 
 MERGES = """
@@ -60,23 +69,21 @@ WITH RECURSIVE bpe(step, word, pos, tok) AS (
     FROM here h JOIN least l ON h.word = l.word WHERE h.pos <> l.gone))
 SELECT word, list(tok ORDER BY pos) AS ids FROM bpe JOIN (SELECT word, max(step) AS step FROM bpe GROUP BY word) USING (word, step) GROUP BY word
 """
-#: All merges of the least rank in one step: for long words.
+#: All merges of the least rank in one step: for long words. A token that went into the one before it is -1.
 ENCODE_LONG = """
-WITH RECURSIVE bpe(step, word, pos, tok) AS (
-  SELECT 0, word, pos, tok FROM seed
-  UNION ALL
+WITH RECURSIVE bpe(word, pos, tok) USING KEY (word, pos) AS (
+  SELECT word, pos, tok FROM seed
+  UNION
   SELECT * FROM (
-    WITH here AS (SELECT step, word, pos, tok, lead(tok) OVER w AS nxt, row_number() OVER w AS n FROM bpe WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    pairs AS (SELECT h.word, h.pos, h.n, m.merged FROM here h JOIN merges m ON h.tok = m.l AND h.nxt = m.r),
+    WITH here AS (SELECT word, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS nxt_pos, row_number() OVER w AS n FROM recurring.bpe WHERE tok >= 0 WINDOW w AS (PARTITION BY word ORDER BY pos)),
+    pairs AS (SELECT h.word, h.pos, h.nxt_pos, h.n, m.merged FROM here h JOIN merges m ON m.pair = h.tok::BIGINT * 4294967296 + h.nxt),
     best AS (SELECT word, min(merged) AS merged FROM pairs GROUP BY word),
-    least AS (SELECT p.word, p.n, p.merged, p.n - row_number() OVER (PARTITION BY p.word ORDER BY p.n) AS run, e.merged IS NOT NULL AS alone
+    least AS (SELECT p.*, p.n - row_number() OVER (PARTITION BY p.word ORDER BY p.n) AS run, e.merged IS NOT NULL AS alone
       FROM pairs p JOIN best b ON p.word = b.word AND p.merged = b.merged LEFT JOIN early e ON p.merged = e.merged),
-    chosen AS (SELECT word, n, merged FROM (SELECT *, min(n) OVER (PARTITION BY word, run) AS start, min(n) OVER (PARTITION BY word) AS first FROM least)
+    chosen AS (SELECT word, pos, nxt_pos, merged FROM (SELECT *, min(n) OVER (PARTITION BY word, run) AS start, min(n) OVER (PARTITION BY word) AS first FROM least)
       WHERE (n - start) % 2 = 0 AND (NOT alone OR n = first))
-    SELECT h.step + 1, h.word, h.pos, coalesce(c.merged, h.tok)
-    FROM here h JOIN best b ON h.word = b.word LEFT JOIN chosen c ON h.word = c.word AND h.n = c.n LEFT JOIN chosen g ON h.word = g.word AND h.n = g.n + 1
-    WHERE g.n IS NULL))
-SELECT word, list(tok ORDER BY pos) AS ids FROM bpe JOIN (SELECT word, max(step) AS step FROM bpe GROUP BY word) USING (word, step) GROUP BY word
+    SELECT word, pos, merged FROM chosen UNION ALL SELECT word, nxt_pos, -1 FROM chosen))
+SELECT word, list(tok ORDER BY pos) AS ids FROM bpe WHERE tok >= 0 GROUP BY word
 """
 DECODE = """
 SELECT s.seq, CASE WHEN count(v.tok) = count(*) THEN string_agg(v.tok, '' ORDER BY s.pos) END AS hex
@@ -93,7 +100,8 @@ class Tokenizer:
         # \\s of the rank files' library is White_Space, without the separators U+001C to U+001F
         self.split = regex.compile(pattern.replace(r"[^\s\p{L}", r"[^\p{White_Space}\p{L}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.whole = {t: i for t, i in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.starts = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.db.execute("CREATE TABLE vocab (id INTEGER, tok VARCHAR)")
         rows = pa.table({"id": pa.array(ranks.values(), pa.int32()), "tok": [t.hex() for t in ranks]})
@@ -105,24 +113,56 @@ class Tokenizer:
         self.seen: dict[str, tuple[str, int, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes]] = {}
 
+    def cut(self, word: bytes) -> list[bytes]:
+        """The word in pieces, parted where no token that stands in it reaches across."""
+        out, start, reach = [], 0, 1
+        for i in range(len(word)):
+            if i >= reach:
+                out.append(word[start:i])
+                start, reach = i, i + 1
+            n = 2
+            while i + n <= len(word) and word[i : i + n] in self.starts:
+                if i + n > reach and word[i : i + n] in self.whole:
+                    reach = i + n
+                n += 1
+        return [*out, word[start:]]
+
+    def _merged(self, query: str, pieces: list[bytes], rows) -> list[list[int]]:
+        """Ids of each piece; rows: how many token rows a piece of a length needs."""
+        out: list[list[int]] = [[] for _ in pieces]
+        start = 0
+        while start < len(pieces):
+            end, n = start, 0
+            while end < len(pieces) and (end == start or n + rows(len(pieces[end])) <= QUERY_ROWS):
+                n += rows(len(pieces[end]))
+                end += 1
+            sizes = np.array([len(p) for p in pieces[start:end]])
+            tok = self.byte[np.frombuffer(b"".join(pieces[start:end]), np.uint8)]
+            pos = np.arange(len(tok)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            self.db.register("seed", pa.table({"word": np.repeat(np.arange(start, end, dtype=np.int32), sizes), "pos": pos.astype(np.int32), "tok": tok}))
+            for w, ids in self.db.execute(query).fetchall():
+                out[w] = ids
+            self.db.unregister("seed")
+            start = end
+        return out
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word by the recursive query; a word that is a token is that token."""
         out = [[self.whole[w]] if w in self.whole else [] for w in words]
-        left = [i for i, w in enumerate(words) if w and not out[i]]
-        for query, part in ((ENCODE_SHORT, [i for i in left if len(words[i]) <= SHORT]), (ENCODE_LONG, [i for i in left if len(words[i]) > SHORT])):
-            start = 0
-            while start < len(part):
-                which, pos, tok = [], [], []
-                while start < len(part) and (not which or len(which) + len(words[part[start]]) <= QUERY_BYTES):
-                    w = words[part[start]]
-                    which += [part[start]] * len(w)
-                    pos += range(len(w))
-                    tok += map(self.byte.__getitem__, w)
-                    start += 1
-                self.db.register("seed", pa.table({"word": pa.array(which, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())}))
-                for w, ids in self.db.execute(query).fetchall():
-                    out[w] = ids
-                self.db.unregister("seed")
+        pieces, own = [], []
+        for i, w in enumerate(words):
+            if w and not out[i]:
+                parts = [w] if len(w) <= SHORT else self.cut(w)
+                pieces += parts
+                own += [i] * len(parts)
+        short = [j for j, p in enumerate(pieces) if 1 < len(p) <= SHORT]
+        long = [j for j, p in enumerate(pieces) if len(p) > SHORT]
+        ids = [[int(self.byte[p[0]])] if len(p) == 1 else [] for p in pieces]
+        for query, which, rows in ((ENCODE_SHORT, short, lambda n: n * (n + 1) // 2), (ENCODE_LONG, long, lambda n: 8 * n)):
+            for j, found in zip(which, self._merged(query, [pieces[j] for j in which], rows), strict=True):
+                ids[j] = found
+        for i, found in zip(own, ids, strict=True):
+            out[i] += found
         return out
 
     def decode_ids(self, sequences: list[list[int] | None]) -> list[bytes | None]:
