@@ -2,25 +2,34 @@
 
 Windows of ``WINDOW`` words are hashed under fixed masks. A mask reads some
 positions and ignores the others: positions are dealt into ``GROUPS`` classes
-and each mask ignores ``TOLERATED`` of them, so a window with that many
-substituted words, wherever they stand, still meets its source under at least
-one mask. Hashes of benchmark windows form a table; documents look their own
-windows up in it, and each hit gives an alignment of document and item. An
-alignment is verified on the words themselves: it counts if some window of
-the item has at least ``WINDOW - TOLERATED`` equal words on that diagonal.
-Items shorter than a window are looked up whole, without substitutions.
+and each mask ignores as many of them as substitutions are tolerated
+(``TOLERATED``), so a window with that many substituted words, wherever they
+stand, still meets its source under at least one mask. Hashes of benchmark
+windows form a table; documents look their own windows up in it. Around each
+hit the words themselves are compared: two windows match if at most that many
+words differ. An item is found in a document if any two of their windows match.
+An item shorter than a window is one window of its own length: of ``MIDDLE``
+words or more it tolerates one substitution, below that none.
+
+Only distinct windows meet: a window that a text repeats stands for its first
+place, so a text of one word repeated is one window, and hits are bounded by
+distinct contents, not places. ``n_equal`` counts the item's words that stand
+equal in some matching window, ``first_word`` is the least place in the
+document of a matching window's first equal word.
 
 Words are runs of letters, digits and non-ASCII characters with A-Z folded.
 
 The benchmark's table goes to the tasks only in parts of at most
-``PART_WORDS`` words, a proven bound; a larger benchmark takes more passes over
-the documents, each with one part, and their results are united. Documents are
-never shuffled and never sent anywhere: each task reads whole texts and emits
-(document, item) pairs.
+``PART_WORDS`` words (two characters hold one word at most, which is what is
+counted), or one item that alone is longer; a larger benchmark takes more
+passes over the documents, each with one part, and their results are united.
+Documents are never shuffled and never sent anywhere: each task reads whole
+texts and emits (document, item) pairs.
 
 Defined cases: null or empty texts hold nothing; items without words, or of
-fewer than ``LEAST`` words, match nothing; null ids are carried; repeated rows
-give repeated results; extra columns pass through :func:`clean`.
+fewer than ``LEAST`` words, which any text may hold by chance, match nothing;
+null ids are carried; repeated rows give repeated results; extra columns pass
+through :func:`clean`.
 """
 
 from __future__ import annotations
@@ -37,106 +46,131 @@ from .common import let_go
 from .words import U, mix, sliced, word_hashes
 
 WINDOW, GROUPS, TOLERATED = 13, 4, 2
-#: The fewest words of an item that can be told from chance.
-LEAST = 5
+#: Words of an item: from MIDDLE on it tolerates a substitution; fewer than LEAST can't be told from chance.
+MIDDLE, LEAST = 8, 5
 #: Words of benchmark text in one table: at most 6 seeds of 24 bytes each a word.
 PART_WORDS = 1_000_000
-MASKS = [tuple(i for i in range(WINDOW) if i % GROUPS not in skip) for skip in combinations(range(GROUPS), TOLERATED)]
-_WEIGHTS = [mix(np.arange(1, WINDOW + 1, dtype=U) + U(1000 * k)) | U(1) for k in range(len(MASKS))]
 _FILTER_BITS = 22
+#: Pairs of windows compared at once.
+PAIRS = 200_000
 
 
-def seeds(words: np.ndarray, mask: int) -> np.ndarray:
-    """The hash under a mask of each window of consecutive words."""
-    n = len(words) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, U)
-    out = np.full(n, U(mask + 1))
-    for i in MASKS[mask]:
-        out += words[i : i + n] * _WEIGHTS[mask][i]
-    return mix(out)
+def tolerated(window: int) -> int:
+    """Substitutions that a window of so many words may hold."""
+    return TOLERATED if window >= WINDOW else 1 if window >= MIDDLE else 0
+
+
+def masks(window: int) -> list[tuple[int, ...]]:
+    """The positions that each mask of a window reads."""
+    return [tuple(i for i in range(window) if i % GROUPS not in skip) for skip in combinations(range(GROUPS), tolerated(window))]
 
 
-def whole(words: np.ndarray, length: int) -> np.ndarray:
-    """The hash of each run of ``length`` consecutive words."""
-    n = len(words) - length + 1
-    out = np.full(max(n, 0), U(length))
-    for i in range(length if n > 0 else 0):
-        out = mix(out + words[i : i + n])
-    return out
+def seeds(words: np.ndarray, window: int, reads: tuple[int, ...], salt: int) -> np.ndarray:
+    """The hash of what a mask reads of each window of consecutive words."""
+    n = max(0, len(words) - window + 1)
+    out = np.full(n, U(salt + 1))
+    weights = mix(np.arange(1, window + 1, dtype=U) + U(1000 * (salt + 1))) | U(1)
+    for i in reads if n else ():
+        out += words[i : i + n] * weights[i]
+    return mix(out)
 
 
 class Table:
     """Seeds of a part of the benchmark."""
 
     def __init__(self, ids: list, texts: list):
-        hashes, o = word_hashes(pa.array(texts, pa.string()), "mark")
-        self.ids, self.words, self.o = ids, hashes, o
-        long = np.flatnonzero(np.diff(o) >= WINDOW)
-        self.masks = []
-        for mask in range(len(MASKS)):
-            found = [seeds(hashes[o[i] : o[i + 1]], mask) for i in long]
-            self.masks.append(self._sorted(found, long))
-        self.short = {}
-        for n in sorted({int(x) for x in np.diff(o) if LEAST <= x < WINDOW}):
-            which = np.flatnonzero(np.diff(o) == n)
-            self.short[n] = self._sorted([whole(hashes[o[i] : o[i + 1]], n) for i in which], which)
-
-    def _sorted(self, found, which):
-        h = np.concatenate(found) if found else np.zeros(0, U)
-        item = np.repeat(which, [len(x) for x in found]) if found else np.zeros(0, np.int64)
-        pos = np.concatenate([np.arange(len(x)) for x in found]) if found else np.zeros(0, np.int64)
+        self.ids = ids
+        self.words, self.o = word_hashes(pa.array(texts, pa.string()), "mark")
+        self.sizes = np.diff(self.o)
+        #: window length: per mask (hashes in order, their window, a filter); windows by item and first word
+        self.tables: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+        for window in sorted({min(int(n), WINDOW) for n in self.sizes if n >= LEAST}):
+            which = np.flatnonzero(self.sizes >= WINDOW if window == WINDOW else self.sizes == window)
+            item = np.repeat(which, self.sizes[which] - window + 1)
+            first = np.concatenate([np.arange(self.sizes[i] - window + 1) for i in which])
+            full = seeds(self.words, window, tuple(range(window)), 99)[self.o[item] + first]
+            order = np.lexsort((first, full, item))
+            new = np.concatenate([[True], (full[order][1:] != full[order][:-1]) | (item[order][1:] != item[order][:-1])])
+            item, first = item[order][new], first[order][new]
+            self.tables[window] = [self._sorted(seeds(self.words, window, m, k)[self.o[item] + first]) for k, m in enumerate(masks(window))], item, first
+
+    @staticmethod
+    def _sorted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(h, kind="stable")
         seen = np.zeros(1 << _FILTER_BITS, bool)
         seen[(h >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return h[order], item[order], pos[order], seen
+        return h[order], order, seen
 
     @staticmethod
-    def _look(h: np.ndarray, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in h, item, position in the item) of all hits."""
-        known, item, pos, seen = table
+    def _look(h: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in h, window of the table) of all hits."""
+        known, window, seen = table
         near = np.flatnonzero(seen[(h >> U(64 - _FILTER_BITS)).astype(np.int64)])
         lo, hi = np.searchsorted(known, h[near], "left"), np.searchsorted(known, h[near], "right")
         n = hi - lo
         at = np.repeat(near, n)
-        k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        return at, item[k], pos[k]
-
-    def alignments(self, words: np.ndarray, o: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, diagonal) of hits; windows that cross documents are left out."""
-        doc = np.repeat(np.arange(len(o) - 1), np.diff(o))
-        out = []
-        for n, tables in ((WINDOW, enumerate(self.masks)), *((n, [(None, t)]) for n, t in self.short.items())):
-            for mask, table in tables:
-                if len(table[0]):
-                    at, item, pos = self._look(seeds(words, mask) if mask is not None else whole(words, n), table)
-                    same = doc[at] == doc[np.minimum(at + n - 1, len(words) - 1)]
-                    out.append(np.stack([doc[at], item, at - o[doc[at]] - pos], 1)[same])
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+        return at, window[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+
+    def _windows(self, words: np.ndarray, o: np.ndarray, window: int, tables: list) -> np.ndarray:
+        """First places of the distinct windows of each document that hit under some mask."""
+        n = len(words) - window + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        hit = np.zeros(n, bool)
+        for (k, m), (known, _, seen) in zip(enumerate(masks(window)), tables):
+            h = seeds(words, window, m, k)
+            near = np.flatnonzero(seen[(h >> U(64 - _FILTER_BITS)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(known, h[near]), len(known) - 1)
+            hit[near[known[at] == h[near]]] = True
+        at = np.flatnonzero(hit)
+        doc = np.searchsorted(o, at, "right") - 1
+        inside = at + window <= o[doc + 1]
+        at, doc = at[inside], doc[inside]
+        full = np.full(len(at), U(99))
+        for i in range(window):
+            full = mix(full + words[at + i])
+        order = np.lexsort((at, full, doc))
+        new = np.concatenate([[True], (full[order][1:] != full[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(at) else np.zeros(0, bool)
+        return np.sort(at[order][new])
 
     def verified(self, words: np.ndarray, o: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, first word, words equal, words of the item) for the best alignment of each pair."""
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for d, i, diagonal in self.alignments(words, o).tolist():
-            item, text = self.words[self.o[i] : self.o[i + 1]], words[o[d] : o[d + 1]]
-            lo, hi = max(0, -diagonal), min(len(item), len(text) - diagonal)
-            equal = item[lo:hi] == text[lo + diagonal : hi + diagonal]
-            if len(item) < WINDOW:
-                good = len(equal) == len(item) and equal.all()
-            else:
-                run = np.cumsum(np.concatenate([[0], equal]))
-                good = len(equal) >= WINDOW and (run[WINDOW:] - run[:-WINDOW]).max() >= WINDOW - TOLERATED
-            if good:
-                first = lo + int(np.argmax(equal)) + diagonal
-                best[d, i] = max(best.get((d, i), (0, 0)), (int(equal.sum()), -first))
-        return [(d, i, -first, n, int(self.o[i + 1] - self.o[i])) for (d, i), (n, first) in sorted(best.items())]
+        """(document, item, first word, words equal, words of the item) of each pair that overlaps."""
+        found: dict[tuple[int, int], list] = {}
+        for window, (tables, item, first) in self.tables.items():
+            at = self._windows(words, o, window, tables)
+            for a in range(0, len(at), 4096):
+                part = at[a : a + 4096]
+                own = words[part[:, None] + np.arange(window)]
+                met = []
+                for k, m in enumerate(masks(window)):
+                    h = np.full(len(part), U(k + 1))
+                    weights = mix(np.arange(1, window + 1, dtype=U) + U(1000 * (k + 1))) | U(1)
+                    for i in m:
+                        h += own[:, i] * weights[i]
+                    x, y = self._look(mix(h), tables[k])
+                    met.append(x * len(item) + y)
+                met = np.unique(np.concatenate(met))
+                for b in range(0, len(met), PAIRS):
+                    x, y = np.divmod(met[b : b + PAIRS], len(item))
+                    equal = own[x] == self.words[(self.o[item[y]] + first[y])[:, None] + np.arange(window)]
+                    good = equal.sum(1) >= window - tolerated(window)
+                    x, y, equal = x[good], y[good], equal[good]
+                    doc = np.searchsorted(o, part[x], "right") - 1
+                    place = part[x] - o[doc] + equal.argmax(1)
+                    for d, i, f, p, e in zip(doc.tolist(), item[y].tolist(), first[y].tolist(), place.tolist(), equal):
+                        if (d, i) not in found:
+                            found[d, i] = [p, np.zeros(self.sizes[i], bool)]
+                        got = found[d, i]
+                        got[0] = min(got[0], p)
+                        got[1][f : f + window] |= e
+        return [(d, i, p, int(e.sum()), int(self.sizes[i])) for (d, i), (p, e) in sorted(found.items())]
 
 
 def parts(benchmark: DataFrame, item_id: str, text: str, most: int = PART_WORDS) -> Iterator[Table]:
     """The benchmark in tables of at most ``most`` words; items come to the driver one partition at a time."""
     ids, texts, n = [], [], 0
     for row in benchmark.select(item_id, text).toLocalIterator():
-        size = len((row[1] or "").split()) * 2 + 1
+        size = len(row[1] or "") // 2 + 1
         if ids and n + size > most:
             yield Table(ids, texts)
             ids, texts, n = [], [], 0
