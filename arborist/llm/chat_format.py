@@ -10,7 +10,9 @@ Input rows are messages (conv_id, turn, role, text). Three kinds carry JSON:
   makes calls; ``depends_on`` names calls that must come first;
 * a tool's ``{"tool_call_id", "content"}`` is a result.
 
-Every other message is plain. Calls and results meet in a hash join on
+Every other message is plain, an assistant's without calls among them
+(``tool_calls`` empty or null). Content beside calls is a plain message of its
+own before them. Calls and results meet in a hash join on
 (conv_id, id). Order is topological: a call's level is one more than the
 deepest call it depends on, its place (``order_turn``) is the latest turn
 among itself and those calls, and a result follows its call wherever it stood.
@@ -27,7 +29,9 @@ sorted, no white space, as variants are printed.
 
 Status: plain, tools; ok, or missing / unknown / type (argument missing, not
 declared, of another type), undeclared (no such tool), cyclic, duplicate
-(same id again: the first call in order of turn and place counts) for calls;
+(same id again: the first call in order of turn, place and canonical JSON
+counts, equal rows once) for calls; of tools declared twice under a name the
+first in that order counts;
 ok, orphan (no such call) for results; invalid for JSON of a call or result
 that lacks what it needs. Null text is serialised as null; null conv_id or
 turn is kept and never links; extra columns are ignored.
@@ -52,12 +56,13 @@ def _json(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", "role", "text", v.alias("v")).withColumns(
         {
             "calls": F.expr("try_variant_get(v, '$.tool_calls', 'array<variant>')"),
+            "said": F.expr("try_variant_get(v, '$.content', 'variant')"),
             "tools": F.expr("try_variant_get(v, '$.tools', 'array<variant>')"),
             "result_of": F.expr("try_variant_get(v, '$.tool_call_id', 'string')"),
         }
     ).withColumn(
         "kind",
-        F.when((F.col("role") == "assistant") & F.col("calls").isNotNull(), "call")
+        F.when((F.col("role") == "assistant") & (F.size("calls") > 0), "call")
         .when((F.col("role") == "tool"), F.when(F.col("result_of").isNotNull(), "result").otherwise("invalid"))
         .when(F.col("tools").isNotNull(), "tools")
         .otherwise("plain"),
@@ -128,25 +133,28 @@ def formatted(messages: DataFrame) -> DataFrame:
     marked = rows.where("kind in ('call', 'result', 'tools')")
     if not marked.select("kind").head(1):
         return plain
+    beside = rows.where("kind = 'call' and said is not null and not is_variant_null(said)").select(
+        "conv_id", F.col("turn").alias("order_turn"), F.lit(0).alias("phase"), F.lit(0).alias("level"), F.lit(0).alias("seq"), F.lit("plain").alias("kind"),
+        F.lit(None).cast("string").alias("call_id"), F.lit("plain").alias("status"), F.to_json(F.struct(F.col("said").alias("content"), "role"), {"ignoreNullFields": "false"}).alias("line"),
+    )
+    plain = plain.unionByName(beside)
     get = lambda path, kind: F.expr(f"try_variant_get(c, '$.{path}', '{kind}')")
     calls = (
         rows.where("kind = 'call'")
         .select("conv_id", "turn", "role", F.posexplode("calls").alias("seq", "c"))
         .select(
             "conv_id", "turn", "role", "seq", get("id", "string").alias("id"), get("name", "string").alias("name"), get("arguments", "variant").alias("arguments"),
-            get("arguments", "map<string,variant>").alias("args"), F.coalesce(get("depends_on", "array<string>"), F.array().cast("array<string>")).alias("deps"),
+            get("arguments", "map<string,variant>").alias("args"), F.coalesce(get("depends_on", "array<string>"), F.array().cast("array<string>")).alias("deps"), F.to_json("c").alias("json"),
         )
     )
-    firsts = calls.where("id is not null").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "seq")).alias("f"))
-    calls = calls.join(firsts, ["conv_id", "id"], "left").withColumn("again", F.col("id").isNotNull() & ((F.col("turn") != F.col("f.turn")) | (F.col("seq") != F.col("f.seq"))))
-    linked = written(calls.where("id is not null and name is not null and not coalesce(again, true)").drop("f"), "calls")
+    place = F.struct("turn", "seq", "json", "role")
+    firsts = calls.where("id is not null").groupBy("conv_id", "id").agg(F.min(place).alias("f"))
+    calls = calls.join(firsts, ["conv_id", "id"], "left").withColumn("again", F.col("id").isNotNull() & F.col("conv_id").isNotNull() & ~place.eqNullSafe(F.col("f")))
+    linked = written(calls.where("id is not null and name is not null and conv_id is not null and not again").drop("f"), "calls")
     linked = linked.dropDuplicates(["conv_id", "id"])
-    tools = (
-        rows.where("kind = 'tools'")
-        .select("conv_id", F.explode("tools").alias("c"))
-        .select("conv_id", get("name", "string").alias("name"), get("parameters.properties", "map<string,variant>").alias("fields"), get("parameters.required", "array<string>").alias("required"))
-        .dropDuplicates(["conv_id", "name"])
-    )
+    declared = rows.where("kind = 'tools'").select("conv_id", "turn", F.posexplode("tools").alias("seq", "c")).select("conv_id", "turn", "seq", get("name", "string").alias("name"), F.to_json("c").alias("json"))
+    declared = declared.groupBy("conv_id", "name").agg(F.min(F.struct("turn", "seq", "json")).alias("f")).select("conv_id", "name", F.expr("parse_json(f.json)").alias("c"))
+    tools = declared.select("conv_id", "name", get("parameters.properties", "map<string,variant>").alias("fields"), get("parameters.required", "array<string>").alias("required"))
     checked = linked.join(_levels(linked), ["conv_id", "id"]).join(_wrong(linked, tools), ["conv_id", "id"], "left")
     status = F.when(F.col("cyclic"), "cyclic").otherwise(F.coalesce("fault", F.lit("ok")))
     checked = written(checked.select("conv_id", "id", "turn", "role", "seq", "name", "arguments", "level", "order_turn", status.alias("status")), "checked-calls")
@@ -154,7 +162,7 @@ def formatted(messages: DataFrame) -> DataFrame:
     good = checked.select(
         "conv_id", "order_turn", F.lit(1).alias("phase"), "level", "seq", F.lit("call").alias("kind"), F.col("id").alias("call_id"), "status", call_line.alias("line")
     )
-    bad = calls.where("id is null or name is null or again").select(
+    bad = calls.where("id is null or name is null or conv_id is null or again").select(
         "conv_id", F.col("turn").alias("order_turn"), F.lit(1).alias("phase"), F.lit(0).alias("level"), "seq", F.lit("call").alias("kind"), F.col("id").alias("call_id"),
         F.when(F.col("again"), "duplicate").otherwise("invalid").alias("status"), call_line.alias("line"),
     )
@@ -170,10 +178,11 @@ def formatted(messages: DataFrame) -> DataFrame:
 
 
 def op2(conversations: DataFrame) -> DataFrame:
+    """Every message, call and result; tables without calls give plain messages."""
     return formatted(conversations)
 
 
-#: For tables without tool calls, as SQL states plain messages only; linking is tested against brute force.
+#: For tables without tool calls, as SQL states plain messages only; tests hold linking against brute force.
 OP2_SQL = """
 SELECT conv_id, turn AS order_turn, 0::INTEGER AS phase, 0::INTEGER AS level, 0::INTEGER AS seq, 'plain' AS kind, NULL::VARCHAR AS call_id, 'plain' AS status,
   to_json({'content': text, 'role': role})::VARCHAR AS line
