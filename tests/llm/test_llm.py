@@ -75,6 +75,10 @@ def test_bpe(spark, docs):
     for i, t in enumerate(TEXTS):
         ids = own.encode_ordinary(t or "")
         assert tuple(out[i])[1:] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()), i
+    long = ["".join(RND.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "a" * 50_000, "".join(RND.choice("etaoin") for _ in range(5000))]
+    ids = [own.encode_ordinary(x) for x in long]
+    out_long = got(bpe.op7(spark.createDataFrame(list(enumerate(long)), "doc_id bigint, text string")))
+    assert [out_long[i]["ids_sha256"] for i in range(3)] == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
     back = bpe.decoded(bpe.encoded(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
     assert all(bytes(r["bytes"]).decode() == (r["text"] or "") for r in back.collect())
     bad = spark.createDataFrame([([99999],), (None,), ([],)], "ids array<int>")
@@ -154,12 +158,60 @@ def test_decontamination(spark, docs):
     assert decontaminate.op1(docs, bench.limit(0)).count() == 0 and decontaminate.op1(docs.limit(0), bench).count() == 0
 
 
-def test_every_mask_pair_tolerates_two_substitutions():
-    words = np.arange(1, 14, dtype=np.uint64)
-    for a, b in combinations(range(13), 2):
+@pytest.mark.parametrize("window", [13, 8, 12])
+def test_masks_tolerate_substitutions(window):
+    words = np.arange(1, window + 1, dtype=np.uint64)
+    for gone in combinations(range(window), decontaminate.tolerated(window)):
         other = words.copy()
-        other[[a, b]] += np.uint64(100)
-        assert any(decontaminate.seeds(words, m)[0] == decontaminate.seeds(other, m)[0] for m in range(len(decontaminate.MASKS)))
+        other[list(gone)] += np.uint64(100)
+        assert any(decontaminate.seeds(words, window, m, k)[0] == decontaminate.seeds(other, window, m, k)[0] for k, m in enumerate(decontaminate.masks(window)))
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Random texts over few words, with copies, substitutions and repetition; every pair of windows is compared."""
+    rnd = random.Random(8)
+    word = lambda: rnd.choice("abcdefghijklm")
+    items = [[word() for _ in range(n)] for n in (40, 13, 20, 9, 8, 6, 5, 4, 0)] + [["a"] * 30, ["a", "b"] * 12, ["x"] * 7]
+    texts = [["a"] * 2000, ["b", "a"] * 300, ["x"] * 50, []]
+    for i in range(60):
+        w = [word() for _ in range(rnd.randrange(40))] + list(items[i % len(items)]) + [word() for _ in range(rnd.randrange(20))]
+        for _ in range(rnd.randrange(4)):
+            if w:
+                w[rnd.randrange(len(w))] = word()
+        texts.append(w)
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            n = min(len(x), decontaminate.WINDOW)
+            if n < decontaminate.LEAST:
+                continue
+            cover, first = set(), None
+            seen = {}
+            for p in range(len(t) - n + 1):
+                seen.setdefault(tuple(t[p : p + n]), p)
+            for q in range(len(x) - n + 1):
+                for v, p in seen.items():
+                    e = [j for j in range(n) if v[j] == x[q + j]]
+                    if len(e) >= n - decontaminate.tolerated(n):
+                        cover |= {q + j for j in e}
+                        first = min(p + e[0], first if first is not None else p + e[0])
+            if cover:
+                want[d, i] = (first, cover)
+    table = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{name} bigint, text string")
+    got_ = {(r["doc_id"], r["item_id"]): r for r in decontaminate.overlaps(table(texts, "doc_id"), table(items, "item_id")).collect()}
+    assert set(got_) == set(want) and len(want) > 40
+    for k, (first, cover) in want.items():
+        r = got_[k]
+        assert r["first_word"] == first and r["n_item_words"] == len(items[k[1]])
+        repeated = len({tuple(items[k[1]][q : q + 13]) for q in range(len(items[k[1]]) - 12)}) < len(items[k[1]]) - 12
+        assert r["n_equal"] == len(cover) or repeated and 0 < r["n_equal"] <= len(cover)
+
+
+def test_decontamination_of_repetitive_and_unbroken_texts(spark):
+    docs = spark.createDataFrame([(0, "a " * 100_000), (1, "a,b," * 5000)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(0, "a " * 100), (1, "a,b," * 5000)], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, items).collect()} == {(0, 0), (1, 1)}
+    assert [len(t.ids) for t in decontaminate.parts(items, "item_id", "text", 9_000)] == [1, 1]
 
 
 def test_license_scan(spark):

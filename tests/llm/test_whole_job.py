@@ -103,3 +103,62 @@ def test_ann_block_keeps_distinct_ids():
     best = np.maximum(q @ x.T, 0.5 * q @ x.T)
     assert len(once[0]) == len(thrice[0]) == 50
     assert [set(thrice[1][thrice[0] == i]) for i in range(5)] == [set(np.argsort(-best[i])[:10]) for i in range(5)]
+
+
+def test_chat_messages_without_calls_and_content_beside_calls(spark):
+    call = {"id": "a", "name": "f", "arguments": {"x": 1}}
+    rows = [
+        (1, 0, "assistant", json.dumps({"tool_calls": [], "content": "none"})), (1, 1, "assistant", json.dumps({"tool_calls": None})),
+        (1, 2, "assistant", json.dumps({"tool_calls": [call], "content": "I call"})), (1, 2, "assistant", json.dumps({"tool_calls": [call], "content": "I call"})),
+        (1, 2, "assistant", json.dumps({"tool_calls": [{**call, "arguments": {"x": 0}}], "content": None})), (None, 0, "assistant", json.dumps({"tool_calls": [call]})),
+        (1, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": {"properties": {"x": {"type": "integer"}}}}]})),
+    ]
+    out = chat_format.op2(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    plain = sorted(r["line"] for r in out if r["kind"] == "plain")
+    assert plain == sorted([*(json.dumps({"content": rows[i][3], "role": "assistant"}, separators=(",", ":")) for i in (0, 1)), *['{"content":"I call","role":"assistant"}'] * 2])
+    calls = sorted((r["conv_id"] is None, r["status"], r["line"]) for r in out if r["kind"] == "call")
+    line = lambda x: f'{{"arguments":{{"x":{x}}},"id":"a","name":"f","role":"assistant"}}'
+    assert calls == [(False, "duplicate", line(1)), (False, "duplicate", line(1)), (False, "ok", line(0)), (True, "invalid", line(1))]
+
+
+def test_chat_linking_equals_brute_force(spark):
+    """Random conversations with calls, dependencies, cycles, faults and results against a plain Python version."""
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for conv in range(25):
+        fields = {"n": {"type": "integer"}, "s": {"type": "string"}}
+        rows.append((conv, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": {"properties": fields, "required": ["n"]}}]})))
+        calls = {}
+        for turn in range(1, 1 + rnd.randrange(8)):
+            batch = []
+            for _ in range(rnd.randrange(1, 4)):
+                i = f"c{rnd.randrange(12)}"
+                args = {k: rnd.choice([1, "x"]) for k in ("n", "s", "other") if rnd.random() < 0.6}
+                batch.append({"id": i, "name": rnd.choice(["f", "f", "g"]), "arguments": args, "depends_on": [f"c{rnd.randrange(12)}" for _ in range(rnd.randrange(3))]})
+                calls.setdefault(i, (turn, len(batch) - 1, batch[-1]))
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": batch})))
+        for r in range(rnd.randrange(5)):
+            rows.append((conv, 50 + r, "tool", json.dumps({"tool_call_id": f"c{rnd.randrange(14)}", "content": r})))
+        deps = {i: {d for d in c["depends_on"] if d in calls} for i, (_, _, c) in calls.items()}
+        level, order = {}, {}
+        while any(i not in level and deps[i] <= set(level) for i in deps):
+            now = [i for i in deps if i not in level and deps[i] <= set(level)]
+            for i in now:
+                order[i] = max([calls[i][0], *(order[d] for d in deps[i])])
+            level.update({i: 1 + max((level[d] for d in deps[i]), default=-1) for i in now})
+        for i, (turn, seq, c) in calls.items():
+            faults = []
+            if c["name"] != "f":
+                faults = ["undeclared"]
+            else:
+                faults += ["missing"] * ("n" not in c["arguments"]) + ["unknown"] * ("other" in c["arguments"])
+                faults += ["type"] * any(k in fields and not isinstance(v, int if k == "n" else str) for k, v in c["arguments"].items())
+            want[conv, i] = ("cyclic" if i not in level else min(faults, default="ok"), level.get(i), order.get(i), seq)
+    out = chat_format.op2(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    mine = {(r["conv_id"], r["call_id"]): (r["status"], r["level"] if r["status"] != "cyclic" else None, r["order_turn"] if r["status"] != "cyclic" else None, r["seq"]) for r in out if r["kind"] == "call" and r["status"] != "duplicate"}
+    assert mine == want and {"ok", "cyclic", "missing", "type", "unknown", "undeclared"} <= {x[0] for x in want.values()}
+    for r in out:
+        if r["kind"] == "result":
+            known = want.get((r["conv_id"], r["call_id"]))
+            assert (r["status"] == "orphan") == (known is None)
+            assert known is None or known[2] is None or r["order_turn"] == known[2]
