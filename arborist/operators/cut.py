@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,25 +15,32 @@ from arborist.session import stored
 def frontier(linkage: DataFrame, n_clusters: int) -> list[int]:
     """Roots of the clusters in order of label.
 
-    Split the frontier's highest inner node (the first of equals), append its
-    left and right children, until there are ``n_clusters`` or only leaves. Only
-    rows as high as the (n_clusters - 1)-th highest can be split.
+    A node's place is when it came in. The highest node that has children, of
+    equal ones that of the least place, gives way to its left and right child,
+    ``n_clusters - 1`` times or until there are only leaves; labels go by place.
+    Heights don't fall towards the root, so only rows as high as the
+    (n_clusters - 1)-th highest can be split, and only those come to the driver.
     """
     n = linkage.count() + 1
-    if n == 1 or n_clusters <= 1:
+    splits = min(n_clusters, n) - 1
+    if splits < 1:
         return [2 * n - 2]
-    steps = min(n_clusters, n) - 1
-    least = linkage.orderBy(F.desc("height")).limit(steps).agg(F.min("height")).first()[0]
-    top = {r["row"] + n: r for r in linkage.where(F.col("height") >= least).toLocalIterator()}
-    out = [2 * n - 2]
-    while len(out) < n_clusters:
-        inner = [r for r in out if r >= n]
-        if not inner:
-            break
-        split = max(inner, key=lambda r: top[r]["height"] if r in top else -1.0)
-        out.remove(split)
-        out += [top[split]["left"], top[split]["right"]]
-    return out
+    least = linkage.orderBy(F.desc("height")).limit(splits).agg(F.min("height")).first()[0]
+    high = {r["row"] + n: r for r in linkage.where(F.col("height") >= least).toLocalIterator()}
+    places, ends, heap = count(), [], []
+
+    def enter(node: int) -> None:
+        if node in high:
+            heappush(heap, (-high[node]["height"], next(places), node))
+        else:
+            ends.append((next(places), node))
+
+    enter(2 * n - 2)
+    for _ in range(splits):
+        row = high[heappop(heap)[2]]
+        enter(row["left"])
+        enter(row["right"])
+    return [node for _, node in sorted(ends + [(place, node) for _, place, node in heap])]
 
 
 def _assigned(linkage: DataFrame, roots: DataFrame) -> DataFrame:
