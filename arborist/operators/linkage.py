@@ -17,7 +17,7 @@ from arborist.functions.vectors import l2
 from arborist.operators.mst import Sets, ranked
 from arborist.session import stored
 
-LINKAGE = "row int, left bigint, right bigint, height double, size bigint"
+LINKAGE = "row bigint, left bigint, right bigint, height double, size bigint"
 
 
 def _tree(points: DataFrame, mst: DataFrame) -> None:
@@ -48,7 +48,7 @@ def _merges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def merge_log(mst: DataFrame) -> DataFrame:
     """step, j, c0 (centre that stays), c1, v: merges in order of edge length, and the points of each lighter side."""
     steps = ranked(mst, "w", "u", "v", name="step").select("step", "j", "u", "v")
-    return steps.coalesce(1).sortWithinPartitions("step").mapInPandas(_merges, "step int, j int, c0 bigint, c1 bigint, v bigint")
+    return steps.repartition(1).sortWithinPartitions("step").mapInPandas(_merges, "step bigint, j bigint, c0 bigint, c1 bigint, v bigint")
 
 
 def cut_weight(points: DataFrame, mst: DataFrame) -> DataFrame:
@@ -93,4 +93,4 @@ def single_linkage_label(mst: DataFrame) -> DataFrame:
     """row, left, right, height, size from a tree with cw (j, u, v, cw): edges join in order of (cw, j); row i makes node n + i. Ids are 0..n-1."""
     n = mst.count() + 1
     rows = mst.select("j", "u", "v", "cw", F.lit(n).cast("bigint").alias("n"))
-    return rows.coalesce(1).sortWithinPartitions("cw", "j").mapInPandas(_fold, LINKAGE)
+    return rows.repartition(1).sortWithinPartitions("cw", "j").mapInPandas(_fold, LINKAGE)

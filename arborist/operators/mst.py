@@ -14,14 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from arborist.functions.vectors import l2
 from arborist.session import stored
+from arborist.sources.points import numbered
 
 FAN = 8
-#: Vertices whose forest one task can fold; beyond it, Boruvka.
-FOLD_VERTICES = 20_000_000
+#: Vertices whose forest one task can fold (some 200 bytes each in its tables); beyond it, Boruvka, with the same result.
+FOLD_VERTICES = 2_000_000
 EDGE = "u bigint, v bigint, w double"
 
 
@@ -104,13 +104,14 @@ def forest(edges: DataFrame) -> DataFrame:
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while parts > 1:
         parts = -(-parts // FAN)
-        out = out.repartition(parts).mapInPandas(_forest, EDGE) if parts > 1 else out.coalesce(1).mapInPandas(_forest, EDGE)
+        out = out.repartition(parts).mapInPandas(_forest, EDGE)
     return out
 
 
 def ranked(frame: DataFrame, *order: str, name: str = "j") -> DataFrame:
-    """``frame`` with ``name`` 0, 1, ... in order."""
-    return frame.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+    """``frame`` with ``name`` 0, 1, ... in order; sorted in ranges, never in one task."""
+    kept = [c for c in frame.columns if c != name]
+    return numbered(frame.select(*kept), *order).withColumnRenamed("id", name).select(*kept, name)
 
 
 def mst(points: DataFrame, edges: DataFrame, fold_vertices: int = FOLD_VERTICES) -> DataFrame:

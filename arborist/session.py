@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,23 @@ def session(master: str = "local[*]", partitions: int = 8, **more: str) -> Spark
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by a Parquet table in the folder of ``spark.checkpoint.dir``; lost executors can't lose it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    One is made only where that setting is absent and the session runs in one
+    process; on a cluster its absence is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="arborist-")
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at}/{label}-{uuid.uuid4().hex}"
+    return at
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder; lost executors can't lose it."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

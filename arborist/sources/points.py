@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arborist.session import stored
+
 
 def points(df: DataFrame, id: str, vector: str | None = None, columns: Sequence[str] = ()) -> DataFrame:
     """Points from a vector column or from numeric columns. Null, NaN or ragged coordinates are refused."""
@@ -25,7 +27,8 @@ def points(df: DataFrame, id: str, vector: str | None = None, columns: Sequence[
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with id 0..n-1 by ``order``. Ranges are sorted apart, and a running total of their sizes numbers them."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    # written, as ranges come from a sample that a second run may draw otherwise
+    ranged = stored(ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("bigint")), "ranges")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     # one short row for each partition, whatever the number of points
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
