@@ -4,102 +4,140 @@ The model predicts a word's characters from up to ``ORDER - 1`` characters
 before, within its language; a blank opens and closes each word. It is trained
 on trusted text only: documents labelled good, four fifths of them by hash.
 
-Counting. Words of trusted documents are counted by (language, word) with
-partial aggregation; words give n-grams, and one shuffle by n-gram shards the
-counts. Adjusted counts (continuations below the highest order), the three
-discounts of each order and the back-off mass of each context follow as
-aggregates and joins on (language, context).
-
-Scoring. A document's log-probability is the sum over its words, so it is
-enough to know each distinct word's. If the sharded tables hold at most
-``BROADCAST_GRAMS`` n-grams in all, they go to the tasks and each scores the
-words it meets. Beyond that bound, :func:`word_scores_joined` explodes the
-distinct words of all documents to n-grams, joins them with the count shards
-and sends scores back by a join on words. Both give the same numbers.
-
-Threshold. The trusted documents not trained on are scored; per language,
-``cut = q50 + SLACK * (q_HIGH - q50)`` of their log-perplexities, so a document
-is rejected if it lies well outside what trusted text of its language shows.
-Log-perplexities are shrunk to the language's median by ``PRIOR_CHARS``
-characters: chance moves those of short texts most.
-A language with fewer than ``FEWEST`` such documents also scores the trusted
-documents it trained on, each fifth by a model of the other four. If even these
-are fewer, its own median stands, and the distance from there to the cut is at
-least that which the deviations of all languages from their medians show.
+Counting. Tasks split whole texts into words, take each distinct word of a
+slice apart and send each distinct n-gram of it once, with its count; one
+shuffle by n-gram shards the counts. Adjusted counts (continuations below the
+highest order), the three discounts of each order and the back-off mass of each
+context follow as aggregates and joins on (language, context).
+
+Scoring. The distinct n-grams of all documents are joined with the count
+shards, order by order: the probability of an n-gram is its own discounted part
+plus its context's mass times the probability of the one-shorter n-gram. The
+result is one log-probability for each distinct n-gram of the corpus, a table
+that grows with it. It goes back to the documents as hot keys and the rest do
+in any skewed join: the ``HOT_GRAMS`` most frequent n-grams go to the tasks
+(16 bytes each, at any size), the others of a document leave its task as
+(row, n-gram, count) and are joined. Log-probabilities are whole numbers
+(units of 1 / ``SCALE``), so sums are the same whichever way an n-gram took.
+
+Threshold. The trusted documents not trained on are scored; the cut of a
+language is the quantile ``QUANTILE`` of their log-perplexities, read off
+counts on a grid of 1 / ``GRID``, so that a document is rejected if hardly any
+trusted text of its language is as odd. Log-perplexities are shrunk to the
+language's median by ``PRIOR_CHARS`` characters: chance moves those of short
+texts most. A language with too few such documents for that quantile
+(1 / (1 - QUANTILE) of them) also scores the trusted documents it trained on,
+each fifth by a model of the other four. If even these are too few, the
+quantile is estimated: the highest of their own values, of what a normal
+distribution with their spread predicts (wider the fewer they are), and of
+their median plus the same quantile of all languages' deviations from theirs.
 
 Defined cases: null, empty or wordless texts have perplexity null and are kept
-(nothing speaks against them); a null language is a language of its own; null
-labels train nothing; in a language without trusted text the perplexity is null
-and nothing is rejected; a language with too little to score any of it, or to
-show a spread, has cut null and rejects nothing; null and
-repeated ids are scored row by row; extra columns pass through :func:`kept`.
+(nothing speaks against them); words may be of any length; a null language is a
+language of its own; null labels train nothing; in a language without trusted
+text the perplexity is null and nothing is rejected; a language with too little
+to score any of it, or to show a spread, has cut null and rejects nothing; null
+and repeated ids are scored row by row; no documents give no rows; extra
+columns pass through :func:`kept`, and through :func:`classified` unless they
+bear the names of its results.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from math import exp, log
+from math import ceil, sqrt
+from statistics import NormalDist
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import held, let_go, written
-from .words import sliced
+from .common import discard, held, let_go, written
+from .words import U, mix, sliced
 
 ORDER = 5
-HIGH, SLACK, FEWEST = 0.95, 3.0, 20
+QUANTILE = 0.99
 #: Characters at the language's median that are added to each document, so that a short text needs more to be rejected.
 PRIOR_CHARS = 200
-BROADCAST_GRAMS = 1_500_000
-#: Trusted ids that may be broadcast (8 bytes each); beyond it, they are joined by shuffle.
+#: N-grams whose scores go to the tasks; those of all others are joined.
+HOT_GRAMS = 1_000_000
+#: Ids, or keys of documents, that may be broadcast (8 bytes each); beyond it, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-WORDS_KEPT = 400_000
-#: N-grams turned to Python objects at once while a table is built.
-SLICE = 20_000
-#: Characters of a word that count; a longer one is cut into words of that length.
-LONGEST = 48
-
-
-def tokens(text: str) -> list[str]:
-    """Words of a whole text; words of over LONGEST characters in pieces."""
-    out = text.split()
-    if max(map(len, out), default=0) > LONGEST:
-        out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-    return out
-
-
-def grams(word: str) -> list[tuple[str, str]]:
-    """(context, character) of each position: contexts reach back to the opening blank."""
-    padded = f" {word} "
-    return [(padded[max(0, i - ORDER + 1) : i], padded[i]) for i in range(1, len(padded))]
+SCALE, GRID = 1 << 24, 4096
+#: Bytes of text that a task takes apart at once.
+SLICE = 8_000_000
+_BITS = 20
+_PLACES = mix(np.arange(1, ORDER + 1, dtype=U)) | U(1)
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(index of each word in the list of distinct ones, bounds of each text's words, distinct words)."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    coded = flat.filter(real).dictionary_encode()
+    return coded.indices.to_numpy(), before[bounds - bounds[0]], coded.dictionary
+
+
+class Positions:
+    """The n-gram at each character and closing blank of some words of a language."""
+
+    def __init__(self, words: pa.Array, lang: str):
+        self.lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.text = f" {' '.join(words.to_pylist())} "
+        self.ends = np.cumsum(self.lengths + 1)
+        self.starts = self.ends - self.lengths - 1
+        codes = np.frombuffer(self.text.encode("utf-32-le"), np.uint32).astype(U) + U(1)
+        n = int(self.ends[-1]) if len(words) else 0
+        self.word = np.repeat(np.arange(len(words)), self.lengths + 1)
+        #: characters back to the opening blank
+        self.back = np.arange(n) - self.starts[self.word] + 1
+        salt = int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
+        h = codes[1 : n + 1] * _PLACES[0] + U(salt)
+        for j in range(1, ORDER):
+            h[j - 1 :] += np.where(self.back[j - 1 :] >= j, codes[: max(n + 1 - j, 0)], U(0)) * _PLACES[j]
+        self.hash = mix(h).view(np.int64)
+
+    def gram(self, i: int) -> tuple[str, str]:
+        """(context, character) of a position: contexts reach back to the opening blank."""
+        return self.text[i + 1 - min(self.back[i], ORDER - 1) : i + 1], self.text[i + 1]
+
+
+def _by_language(part: pa.RecordBatch, lang: str, text: str) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
+    """(language, its rows, their texts) of a slice."""
+    coded = pc.fill_null(part.column(lang), "").dictionary_encode()
+    for i, name in enumerate(coded.dictionary.to_pylist()):
+        rows = np.flatnonzero(coded.indices.to_numpy() == i)
+        yield name, rows, part.column(text).take(pa.array(rows))
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """lang, ctx, ch, c: raw counts of every n-gram that a position offers, at all orders. texts: lang, text."""
+    """lang, ctx, ch, h (hash), c: count of the n-gram, of the longest context, at every position. texts: lang, text."""
+    schema = "lang string, ctx string, ch string, h long, c long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
-            for part in sliced(batch, 1):
-                seen: Counter = Counter()
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for w, n in Counter(tokens(text or "")).items():
-                        seen[lang or "", w] += n
-                found: Counter = Counter()
-                for (lang, w), n in seen.items():
-                    for ctx, ch in grams(w):
-                        found[lang, ctx, ch] += n
-                keys = list(found)
-                cols = list(zip(*keys)) if keys else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(found.values(), pa.int64())], ["lang", "ctx", "ch", "c"])
-
-    raw = texts.select("lang", "text").mapInArrow(run, "lang string, ctx string, ch string, c long")
-    return raw.groupBy("lang", "ctx", "ch").agg(F.sum("c").alias("c"))
+            for part in sliced(batch, 1, SLICE):
+                for lang, _, found in _by_language(part, "lang", "text"):
+                    codes, _, words = words_of(found)
+                    at = Positions(words, lang)
+                    h, first, own = np.unique(at.hash, return_index=True, return_inverse=True)
+                    c = np.zeros(len(h), np.int64)
+                    np.add.at(c, own, np.bincount(codes, minlength=len(words))[at.word])
+                    grams = [at.gram(i) for i in first.tolist()]
+                    ctx, ch = zip(*grams) if grams else ((), ())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(ctx, pa.string()), pa.array(ch, pa.string()), pa.array(h, pa.int64()), pa.array(c)], ["lang", "ctx", "ch", "h", "c"])
+
+    raw = texts.select("lang", "text").mapInArrow(run, schema)
+    return raw.groupBy("lang", "ctx", "ch", "h").agg(F.sum("c").alias("c"))
 
 
 def model(texts: DataFrame) -> DataFrame:
@@ -110,7 +148,7 @@ def model(texts: DataFrame) -> DataFrame:
     interpolated with the uniform distribution over the language's characters
     and one unseen.
     """
-    raw = written(counted(texts), "grams")
+    raw = written(counted(texts).drop("h"), "grams")
     full = (F.length("ctx") == ORDER - 1) | F.col("ctx").startswith(" ")
     top = raw.where(full)
     levels, upper = [top], top
@@ -141,131 +179,113 @@ def model(texts: DataFrame) -> DataFrame:
     return cut.join(ctx, ["lang", "ctx"]).select("lang", "ctx", "ch", ((c - F.col("d")) / F.col("total")).alias("p"), (F.col("left") / F.col("total")).alias("b"))
 
 
-class Table:
-    """The count shards of a model below the bound, in one task's memory."""
-
-    def __init__(self, found: pa.Table):
-        #: log-probability of each n-gram with all its shorter ones mixed in; log-mass that a context leaves to the next
-        self.p: dict[str, dict[str, float]] = {}
-        self.b: dict[str, dict[str, float]] = {}
-        length = pc.utf8_length(found.column("ctx"))
-        self.uniform: dict[str, float] = {}
-        # shorter contexts first, in slices: only what stays is ever a Python object for long
-        for n in range(ORDER):
-            level = found.filter(pc.equal(length, n))
-            if n == 0:
-                self.uniform = {x: log(1 / (m + 1)) for x, m in Counter(level.column("lang").to_pylist()).items()}
-            for part in level.to_batches(max_chunksize=SLICE):
-                for x, y, z, p, b in zip(*(part.column(c).to_pylist() for c in ("lang", "ctx", "ch", "p", "b"))):
-                    self.b.setdefault(x, {})[y] = log(b) if b > 0 else -1e9
-                    below = self._longest(self.p.get(x, {}), self.b[x], y[1:], z, self.uniform[x]) if y else self.uniform[x]
-                    self.p.setdefault(x, {})[y + z] = log(p + b * exp(below))
-        self.seen: dict[str, dict[str, float]] = {}
-
-    @staticmethod
-    def _longest(p: dict[str, float], b: dict[str, float], ctx: str, ch: str, floor: float) -> float:
-        """Log-probability by the longest context that has the n-gram; longer ones add their left mass."""
-        rest = 0.0
-        while True:
-            got = p.get(ctx + ch)
-            if got is not None:
-                return rest + got
-            rest += b.get(ctx, 0.0)
-            if not ctx:
-                return rest + floor
-            ctx = ctx[1:]
-
-    def word(self, lang: str, w: str) -> float:
-        """Log-probability of a word and its closing blank, in a language of the model."""
-        p, b, floor, out = self.p[lang], self.b[lang], self.uniform[lang], 0.0
-        padded = f" {w} "
-        for i in range(2, len(padded) + 1):
-            got = p.get(padded[i - ORDER if i > ORDER else 0 : i])
-            out += got if got is not None else self._longest(p, b, padded[max(0, i - ORDER) : i - 1], padded[i - 1], floor)
-        return out
-
-    def documents(self, langs: list[str | None], texts: list[str | None]) -> list[tuple[float | None, int]]:
-        """Log-perplexity per character of whole texts, null in languages the model lacks, and their characters."""
-        out: list[tuple[float | None, int]] = []
-        for lang, text in zip(langs, texts):
-            words = tokens(text or "")
-            n = sum(map(len, words)) + len(words)
-            if (lang or "") not in self.uniform:
-                out.append((None, n))
-                continue
-            seen = self.seen.setdefault(lang or "", {})
-            for w in set(words):
-                if w not in seen:
-                    seen[w] = self.word(lang or "", w)
-            out.append((-sum(map(seen.__getitem__, words)) / n if words else None, n))
-            if sum(map(len, self.seen.values())) > WORDS_KEPT:
-                self.seen = {}
-        return out
-
-
-def _table(key: str, data: bytes) -> Table:
-    """A worker's table, built once for each model."""
-    return held(("quality", key), lambda: Table(pa.ipc.open_stream(data).read_all()))
-
-
-def word_scores_joined(words: DataFrame, fitted: DataFrame) -> DataFrame:
-    """lang, w, lp (null in languages the model lacks) of distinct words(lang, w) by joins with the count shards; any size of model."""
-    at = F.col("at")
-    padded = F.concat(F.lit(" "), "w", F.lit(" "))
-    spots = words.select("lang", "w", padded.alias("s"), F.explode(F.sequence(F.lit(1), F.length("w") + 1)).alias("at"))
-    spots = spots.select("lang", "w", "at", F.substring("s", F.greatest(F.lit(1), at - ORDER + 2), F.least(at, F.lit(ORDER - 1))).alias("ctx"), F.substring("s", at + 1, F.lit(1)).alias("ch"))
-    steps = spots.select("lang", "w", "at", "ch", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("ctx")), lambda i: F.substring("ctx", i + 1, F.lit(ORDER)))).alias("i", "ctx"))
-    masses = fitted.select("lang", "ctx", "b").distinct()
-    met = steps.join(masses, ["lang", "ctx"]).join(fitted.select("lang", "ctx", "ch", "p"), ["lang", "ctx", "ch"], "left")
-    uniform = fitted.where("ctx = ''").groupBy("lang").agg((1 / (F.count("*") + 1)).alias("u"))
-    parts = met.groupBy("lang", "w", "at").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("p", F.lit(0.0)).alias("p"), "b"))).alias("s"))
-    state = F.aggregate(
-        "s",
-        F.struct(F.lit(0.0).alias("got"), F.lit(1.0).alias("rest")),
-        lambda a, x: F.struct((a["got"] + a["rest"] * x["p"]).alias("got"), (a["rest"] * x["b"]).alias("rest")),
-    )
-    at_each = spots.select("lang", "w", "at").join(parts.select("lang", "w", "at", state.alias("z")), ["lang", "w", "at"], "left").join(uniform, "lang", "left")
-    got, rest = F.coalesce("z.got", F.lit(0.0)), F.coalesce("z.rest", F.lit(1.0))
-    return at_each.groupBy("lang", "w").agg(F.sum(F.log(got + rest * F.col("u"))).alias("lp"))
-
-
-def _tokenised(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """key, lang, w, n of rows with a key."""
+def gram_scores(need: DataFrame, fitted: DataFrame) -> DataFrame:
+    """h, c, lp of each n-gram of need (lang, ctx, ch, h, c) in a language of the model, by joins with the count shards; any size of either."""
+    keys = ["lang", "ctx", "ch"]
+    masses = fitted.groupBy("lang", "ctx").agg(F.max("b").alias("b"))
+    uniform = fitted.where("ctx = ''").groupBy("lang").agg((1 / (F.count("*") + 1)).alias("below"))
+    out, low = None, None
+    for n in range(ORDER):
+        here = need.where(F.length("ctx") >= n).select("lang", (F.expr(f"right(ctx, {n})") if n else F.lit("")).alias("ctx"), "ch").distinct()
+        shorter = here.join(uniform, "lang") if low is None else here.join(low.select("lang", F.col("ctx").alias("tail"), "ch", F.col("prob").alias("below")), (here["lang"] == low["lang"]) & (F.expr("substring(ctx, 2)") == F.col("tail")) & (here["ch"] == low["ch"])).select(here["lang"], here["ctx"], here["ch"], "below")
+        found = shorter.join(fitted.select(*keys, "p"), keys, "left").join(masses, ["lang", "ctx"], "left")
+        now = written(found.select(*keys, (F.coalesce("p", F.lit(0.0)) + F.coalesce("b", F.lit(1.0)) * F.col("below")).alias("prob")), "gram-scores")
+        part = need.where(F.length("ctx") == n).join(now, keys)
+        out = part if out is None else out.unionByName(part)
+        low = now
+    return out.select("h", "c", F.round(F.log("prob") * SCALE).cast("long").alias("lp"))
+
+
+class Hot:
+    """The scores of frequent n-grams, by hash."""
+
+    def __init__(self, h: np.ndarray, lp: np.ndarray):
+        order = np.argsort(h.view(U))
+        self.h, self.lp = h[order], lp[order]
+        top = (self.h.view(U) >> U(64 - _BITS)).astype(np.int64)
+        self.first = np.searchsorted(top, np.arange((1 << _BITS) + 1)).astype(np.int64)
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score or 0, whether it is here) of each hash."""
+        top = (h.view(U) >> U(64 - _BITS)).astype(np.int64)
+        at, end = self.first[top], self.first[top + 1]
+        lp, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            same = self.h[at[todo]] == h[todo]
+            hit = todo[same]
+            lp[hit], known[hit] = self.lp[at[hit]], True
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return lp, known
+
+
+def _hottest(scores: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The most frequent n-grams, ``most`` at most, and whether there are others."""
+    level = F.floor(F.log2("c") * 16)
+    # 16 levels an octave: some hundreds of rows at any size
+    left, least, every = most, None, True
+    for r in sorted(scores.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["l"]):
+        if r["n"] > left:
+            every = False
+            break
+        left, least = left - r["n"], r["l"]
+    return (scores if every else scores.where(level >= least) if least is not None else scores.limit(0)), not every
+
+
+def scored(docs: DataFrame, scores: DataFrame, langs: list[str], most: int = HOT_GRAMS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``carry``, lang (null as ''), key (of language and text), total (log-probability, null without words or a model), chars of every row; no texts."""
+    spark = docs.sparkSession
+    hot, others = _hottest(scores, most)
+    data = hot.select("h", "lp").toArrow()
+    sent = spark.sparkContext.broadcast((data.column("h").to_numpy(), data.column("lp").to_numpy()))
+    name, known_langs = uuid.uuid4().hex, frozenset(langs)
+    rows = docs.select(*carry, F.col("lang").alias("__lang"), F.col("text").alias("__text"), F.xxhash64(F.coalesce("lang", F.lit("")), "text").alias("__key"))
+    kept_ = [f for f in rows.schema if f.name in carry]
+    schema = T.StructType([*kept_, *(T.StructField(n, t) for n, t in (("lang", T.StringType()), ("key", T.LongType()), ("total", T.LongType()), ("chars", T.LongType()), ("rest_h", T.ArrayType(T.LongType())), ("rest_m", T.ArrayType(T.LongType()))))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held(("quality", name), lambda: Hot(*sent.value))
         for batch in batches:
-            for part in sliced(batch, 2):
-                rows = [(k, x or "", w, n) for k, x, t in zip(*(part.column(i).to_pylist() for i in range(3))) for w, n in Counter(tokens(t or "")).items()]
-                cols = list(zip(*rows)) if rows else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["key", "lang", "w", "n"])
-
-    return docs.select("key", lang, text).mapInArrow(run, "key long, lang string, w string, n long")
-
-
-def scored(docs: DataFrame, fitted: DataFrame, most: int = BROADCAST_GRAMS, lang: str = "lang", text: str = "text", out: str = "log_perplexity") -> DataFrame:
-    """``docs`` with all columns and ``out``: log-perplexity per character, null for texts without words."""
-    if fitted.count() > most:
-        keyed = docs.withColumn("key", F.xxhash64(F.coalesce(lang, F.lit("")), text))
-        each = _tokenised(keyed.dropDuplicates(["key"]), lang, text)
-        lp = written(word_scores_joined(each.select("lang", "w").distinct(), fitted), "word-scores")
-        chars = F.sum(F.col("n") * (F.length("w") + 1))
-        sums = each.join(lp, ["lang", "w"]).groupBy("key").agg((-F.sum(F.col("n") * F.col("lp")) / chars).alias(out), chars.alias(f"{out}_chars"))
-        return keyed.join(sums, "key", "left").drop("key").fillna(0, [f"{out}_chars"])
-    sink = pa.BufferOutputStream()
-    data = fitted.toArrow()
-    with pa.ipc.new_stream(sink, data.schema) as f:
-        f.write_table(data)
-    raw = sink.getvalue().to_pybytes()
-    key, sent = hashlib.sha256(raw).hexdigest(), docs.sparkSession.sparkContext.broadcast(raw)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, batch.schema.names.index(text), 4_000_000):
-                lp = _table(key, sent.value).documents(part.column(lang).to_pylist(), part.column(text).to_pylist())
-                lp, n = zip(*lp)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lp, pa.float64()), pa.array(n, pa.int64())], [*part.schema.names, out, f"{out}_chars"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(out, T.DoubleType()), T.StructField(f"{out}_chars", T.LongType())]))
+            for part in sliced(batch, batch.schema.names.index("__text"), SLICE):
+                total, chars, none = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, bool)
+                rest: list[tuple[np.ndarray, np.ndarray] | None] = [None] * part.num_rows
+                for lang, at, texts in _by_language(part, "__lang", "__text"):
+                    codes, o, words = words_of(texts)
+                    grams = Positions(words, lang)
+                    runs = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[o])  # noqa: B023, E731
+                    chars[at] = runs(grams.lengths[codes] + 1)
+                    none[at] = chars[at] == 0
+                    if lang not in known_langs:
+                        none[at] = True
+                        continue
+                    if not len(words):
+                        continue
+                    lp, known = table.look(grams.hash)
+                    total[at] = runs(np.add.reduceat(lp, grams.starts)[codes])
+                    # words with n-grams that are joined
+                    lacking = np.add.reduceat((~known).astype(np.int64), grams.starts)
+                    if others and lacking.any():
+                        where = np.flatnonzero(lacking[codes])
+                        own, n = np.searchsorted(o, where, "right") - 1, lacking[codes[where]]
+                        unknown = grams.hash[~known]
+                        first = (np.cumsum(lacking) - lacking)[codes[where]]
+                        each = unknown[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+                        own = np.repeat(own, n)
+                        for d in np.unique(own).tolist():
+                            rest[at[d]] = np.unique(each[np.searchsorted(own, d) : np.searchsorted(own, d, "right")], return_counts=True)
+                lists = [pa.array([None if r is None else r[i] for r in rest], pa.list_(pa.int64())) for i in (0, 1)]
+                lang = pc.fill_null(part.column("__lang"), "")
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept_), lang, part.column("__key"), pa.array(total, mask=none), pa.array(chars), *lists], schema.names)
+
+    out = rows.mapInArrow(run, schema)
+    if not others:
+        return out.drop("rest_h", "rest_m")
+    out = written(out.withColumn("row", F.monotonically_increasing_id()), "hot-scores")
+    rest = out.where("rest_h is not null").select("row", F.explode(F.arrays_zip("rest_h", "rest_m")).alias("r"))
+    more = rest.select("row", F.col("r.rest_h").alias("h"), F.col("r.rest_m").alias("m")).join(scores, "h").groupBy("row").agg(F.sum(F.col("m") * F.col("lp")).alias("more"))
+    return out.drop("rest_h", "rest_m").join(more, "row", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0))).drop("row", "more")
 
 
 def fold(doc_id: Column) -> Column:
@@ -287,58 +307,105 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "text").join(good, "doc_id", "left_semi")
 
 
-def classified(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, most: int = BROADCAST_GRAMS) -> DataFrame:
-    """``docs`` with log_perplexity, cut and keep. Trusted text comes from ``training`` (doc_id, lang, text), ``docs`` themselves by default."""
+def _languages(fitted: DataFrame) -> list[str]:
+    return [r["lang"] for r in fitted.select("lang").distinct().collect()]
+
+
+def _held_out(texts: DataFrame, scores: DataFrame, langs: list[str], most: int) -> DataFrame:
+    """lang, lp (log-perplexity), chars of trusted documents that can be scored."""
+    out = scored(texts, scores, langs, most).where("total is not null")
+    return written(out.select("lang", (-F.col("total") / SCALE / F.col("chars")).alias("lp"), "chars"), "held-out")
+
+
+def _quantiles(values: DataFrame, shares: tuple[float, ...]) -> dict[str, tuple[int, list[float]]]:
+    """language: (rows, each share's quantile of lp on the grid). A short row a language comes to the driver."""
+    cells = values.groupBy("lang", F.ceil(F.col("lp") * GRID).alias("cell")).agg(F.count("*").alias("n"))
+    # as many rows a language as the grid has cells, whatever the number of documents
+    up = Window.partitionBy("lang").orderBy("cell")
+    cells = cells.select("lang", "cell", F.sum("n").over(up).alias("upto"), F.sum("n").over(Window.partitionBy("lang")).alias("all"))
+    at = [F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("cell"))).alias(f"q{i}") for i, q in enumerate(shares)]
+    return {r["lang"]: (r["m"], [r[f"q{i}"] / GRID for i in range(len(shares))]) for r in cells.groupBy("lang").agg(F.max("all").alias("m"), *at).collect()}
+
+
+def _shrunk(lp: Column, chars: Column, middle: dict[str, float]) -> Column:
+    mid = _value(middle)
+    return F.coalesce((lp * chars + PRIOR_CHARS * mid) / (chars + PRIOR_CHARS), lp)
+
+
+def fewest(quantile: float) -> int:
+    """Values that a quantile takes."""
+    return ceil(round(1 / (1 - quantile), 6))
+
+
+def _cuts(clean: DataFrame, quantile: float) -> dict[str, float | None]:
+    """Each language's cut. clean: lang, lp."""
+    found, least = _quantiles(clean, (0.5, quantile)), fewest(quantile)
+    out = {lang: high for lang, (m, (_, high)) in found.items() if m >= least}
+    if len(out) == len(found):
+        return out
+    apart = F.col("lp") - _value({lang: mid for lang, (m, (mid, _)) in found.items() if m > 1})
+    pooled = _quantiles(clean.select(F.lit("").alias("lang"), apart.alias("lp")).where("lp is not null"), (quantile,))
+    sds = {r["lang"]: r["sd"] or 0.0 for r in clean.groupBy("lang").agg(F.stddev("lp").alias("sd")).collect()}
+    z = NormalDist().inv_cdf(quantile)
+    for lang, (m, (mid, high)) in found.items():
+        if lang not in out:
+            # the normal quantile, corrected for a mean and a deviation of m values
+            own = z * (1 + (z * z + 1) / (4 * m)) * sqrt(1 + 1 / m) * sds[lang]
+            out[lang] = max(high, mid + own, mid + pooled[""][1][0]) if pooled else None
+    return out
+
+
+def _value(by_language: dict[str, float | None]) -> Column:
+    known = [F.lit(x) for name, value in by_language.items() if value is not None for x in (name, float(value))]
+    return F.try_element_at(F.create_map(*known), F.col("lang")) if known else F.lit(None).cast("double")
+
+
+def judged(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, most: int = HOT_GRAMS, quantile: float = QUANTILE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``carry``, key, log_perplexity, cut, keep of every row of docs (lang, text). Trusted text comes from ``training`` (doc_id, lang, text), ``docs`` themselves by default."""
     good = trusted(docs if training is None else training, labels)
     fitted = written(model(good.where(trained_on(F.col("doc_id")))), "model")
-    clean = _scores(good.where(~trained_on(F.col("doc_id"))), fitted, most)
-    enough = clean.groupBy("lang").count().where(F.col("count") >= FEWEST)
+    langs = _languages(fitted)
+    texts = docs.select("lang", "text")
+    need = written(counted(texts if training is None else texts.unionByName(good.where(~trained_on(F.col("doc_id"))).select("lang", "text"))), "grams")
+    scores = written(gram_scores(need, fitted), "scores")
+    clean = _held_out(good.where(~trained_on(F.col("doc_id"))), scores, langs, most)
+    enough = clean.groupBy("lang").count().where(F.col("count") >= fewest(quantile))
     thin = [r["lang"] for r in fitted.select("lang").distinct().join(enough, "lang", "left_anti").collect()]
     if thin:
         few = written(good.where(F.coalesce("lang", F.lit("")).isin(thin)), "thin-languages")
+        need_few = written(counted(few), "grams")
         for f in range(1, 5):
-            clean = clean.unionByName(_scores(few.where(fold(F.col("doc_id")) == f), written(model(few.where(fold(F.col("doc_id")) != f)), "model"), most))
-    half = F.percentile("log_perplexity", F.lit(0.5))
-    middle = {r["lang"]: r["v"] for r in clean.groupBy("lang").agg(half.alias("v")).collect()}
-    level = (F.col("log_perplexity") * F.col("log_perplexity_chars") + PRIOR_CHARS * _value(middle)) / (F.col("log_perplexity_chars") + PRIOR_CHARS)
-    level = F.coalesce(level, "log_perplexity")
-    cuts = _cuts(clean.withColumn("log_perplexity", level))
-    out = scored(docs, fitted, most)
-    out = out.withColumn("log_perplexity", level).drop("log_perplexity_chars").withColumn("cut", _value(cuts))
+            other = written(model(few.where(fold(F.col("doc_id")) != f)), "model")
+            mine = written(gram_scores(need_few, other), "scores")
+            clean = clean.unionByName(_held_out(few.where(fold(F.col("doc_id")) == f), mine, _languages(other), most))
+    discard(need)
+    middle = {lang: q[0] for lang, (_, q) in _quantiles(clean, (0.5,)).items()}
+    cuts = _cuts(clean.withColumn("lp", _shrunk(F.col("lp"), F.col("chars"), middle)), quantile)
+    out = scored(docs, scores, langs, most, carry)
+    lp = -F.col("total") / SCALE / F.col("chars")
+    out = out.select(*carry, "key", _shrunk(lp, F.col("chars"), middle).alias("log_perplexity"), _value(cuts).alias("cut"))
     return out.withColumn("keep", F.coalesce(F.col("log_perplexity") <= F.col("cut"), F.lit(True)))
 
 
-def _scores(good: DataFrame, fitted: DataFrame, most: int) -> DataFrame:
-    """lang, log_perplexity, log_perplexity_chars of trusted documents that can be scored."""
-    clean = scored(good, fitted, most).where("log_perplexity is not null")
-    return written(clean.select(F.coalesce("lang", F.lit("")).alias("lang"), "log_perplexity", "log_perplexity_chars"), "held-out")
-
-
-def _cuts(clean: DataFrame) -> dict[str, float | None]:
-    """Each language's cut. One short row a language comes to the driver."""
-    half, high = F.percentile("log_perplexity", F.lit(0.5)), F.percentile("log_perplexity", F.lit(HIGH))
-    rows = clean.groupBy("lang").agg(half.alias("mid"), high.alias("high"), F.count("*").alias("m")).collect()
-    spread = None
-    if any(r["m"] < FEWEST for r in rows):
-        apart = F.col("log_perplexity") - _value({r["lang"]: r["mid"] for r in rows if r["m"] > 1})
-        spread = clean.select(apart.alias("log_perplexity")).agg(high).first()[0]
-    out = {}
-    for r in rows:
-        wide = (1 - SLACK) * r["mid"] + SLACK * r["high"]
-        out[r["lang"]] = wide if r["m"] >= FEWEST else None if spread is None else max(wide, r["mid"] + SLACK * spread)
-    return out
+def _key() -> Column:
+    return F.xxhash64(F.coalesce("lang", F.lit("")), "text")
 
 
-def _value(by_language: dict[str, float | None]) -> Column:
-    known = [F.lit(x) for name, value in by_language.items() if value is not None for x in (name, float(value))]
-    return F.try_element_at(F.create_map(*known), F.coalesce("lang", F.lit(""))) if known else F.lit(None).cast("double")
+def classified(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, most: int = HOT_GRAMS, quantile: float = QUANTILE) -> DataFrame:
+    """``docs`` with log_perplexity, cut and keep."""
+    found = judged(docs, labels, training, most, quantile).dropDuplicates(["key"]).withColumnRenamed("key", "__key")
+    plain = docs.drop("log_perplexity", "cut", "keep").withColumn("__key", _key())
+    return plain.join(found, "__key").drop("__key")
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with all columns, without the rejected documents."""
-    return classified(docs, labels).where("keep").select(*docs.columns)
+    gone = written(judged(docs, labels).where("not keep").select(F.col("key").alias("__key")).distinct(), "rejected")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, _key() == F.col("__key"), "left_anti")
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, log_perplexity, cut, keep of every document."""
-    return classified(docs.select("doc_id", "lang", "text"), labels).select("doc_id", "log_perplexity", "cut", "keep")
+    return judged(docs.select("doc_id", "lang", "text"), labels, carry=("doc_id",)).drop("key")
