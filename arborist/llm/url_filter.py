@@ -11,9 +11,15 @@ outcomes shrink to the parent.
 
 Counts per host are partially aggregated, so a host with a third of all pages
 is one row per task; levels above are aggregated from those counts. Pages are
-joined only with blocked hosts, a left join that adaptive execution can split.
+joined only with blocked hosts: broadcast up to ``BROADCAST_HOSTS`` of them, so
+that a host with a third of all pages moves none; beyond, a left join that
+adaptive execution can split.
 
-Defined cases: a null url, or one without ``://``, has empty host and path,
+Ties: of rules of equal length that fit a url, the last in the order given
+wins; the contract's rules have no such pair. A posterior bound of exactly the
+limit allows.
+
+Defined cases: no pages give no rows, no labels block nothing but by rule; a null url, or one without ``://``, has empty host and path,
 fits no rule and has the verdict allow; null page_ids and repeated rows are
 kept row by row; repeated or null labels: a page's outcome is its worst label,
 null counts as good; extra columns are ignored.
@@ -31,8 +37,36 @@ from .common import ascii_lower, written
 #: Rules of the contract as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Public suffixes of two labels.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.za")
+TWO_LABEL_SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "sch.uk",
+    "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au",
+    "ac.jp", "ad.jp", "co.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp", "or.jp",
+    "ac.nz", "co.nz", "geek.nz", "govt.nz", "net.nz", "org.nz", "school.nz",
+    "com.br", "edu.br", "gov.br", "net.br", "org.br",
+    "ac.cn", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
+    "com.mx", "edu.mx", "gob.mx", "net.mx", "org.mx",
+    "ac.in", "co.in", "edu.in", "gov.in", "net.in", "nic.in", "org.in", "res.in",
+    "ac.kr", "co.kr", "go.kr", "ne.kr", "or.kr", "re.kr",
+    "ac.za", "co.za", "gov.za", "net.za", "org.za", "web.za",
+    "com.ar", "edu.ar", "gob.ar", "gov.ar", "net.ar", "org.ar",
+    "com.tr", "edu.tr", "gov.tr", "net.tr", "org.tr",
+    "com.tw", "edu.tw", "gov.tw", "net.tw", "org.tw",
+    "com.hk", "edu.hk", "gov.hk", "net.hk", "org.hk",
+    "com.sg", "edu.sg", "gov.sg", "net.sg", "org.sg",
+    "com.my", "edu.my", "gov.my", "net.my", "org.my",
+    "ac.il", "co.il", "gov.il", "net.il", "org.il",
+    "ac.th", "co.th", "go.th", "in.th", "or.th",
+    "ac.id", "co.id", "go.id", "or.id", "web.id",
+    "com.ua", "edu.ua", "gov.ua", "net.ua", "org.ua",
+    "com.pl", "edu.pl", "gov.pl", "net.pl", "org.pl",
+    "ac.at", "co.at", "gv.at", "or.at",
+    "co.hu", "co.it", "com.es", "com.fr", "com.pt", "com.gr", "com.ru", "msk.ru",
+    "com.co", "com.pe", "com.ve", "com.ec", "com.uy", "com.py", "com.bo",
+    "com.eg", "com.sa", "com.pk", "com.bd", "com.vn", "com.ph", "com.ng", "co.ke", "co.tz", "co.ug",
+)
 Z, LIMIT = 1.645, 0.5
+#: Blocked hosts that may be broadcast (names of at most 253 characters on the net; beyond that size they are joined).
+BROADCAST_HOSTS, BROADCAST_BYTES = 1_000_000, 64_000_000
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -104,6 +138,10 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str,
     split = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).fillna("", ["host", "path"])
     worst = labels.groupBy("page_id").agg(F.max(F.coalesce("bad", F.lit(0))).alias("bad"))
     blocked = reputation(split.join(worst, "page_id").select("host", "bad"), split).where((F.col("low") > limit) & (F.col("host") != "")).select("host", F.lit(True).alias("ill"))
+    blocked = written(blocked, "blocked-hosts")
+    n, size = blocked.agg(F.count("*"), F.sum(F.octet_length("host"))).first()
+    if n <= BROADCAST_HOSTS and (size or 0) <= BROADCAST_BYTES:
+        blocked = F.broadcast(blocked)
     host, path = F.col("host"), F.col("path")
     return split.join(blocked, "host", "left").select(
         "page_id",
@@ -124,10 +162,10 @@ def _sql() -> str:
     def level(name: str, up: str | None) -> str:
         keys = LEVELS[: LEVELS.index(name) + 1]
         on = " AND ".join(f"g.{k} = u.{k}" for k in keys[:-1])
-        join, mean = (f"JOIN m_{up} u ON {on}", "u.mean") if up else ("", "(SELECT sum(bad) / sum(n) FROM hosts)")
+        join, mean = (f"JOIN m_{up} u ON {on}", "u.mean") if up else ("", "(SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) FROM hosts)")
         return f"""
 g_{name} AS (SELECT {', '.join(keys)}, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM hosts GROUP BY ALL),
-s_{name} AS (SELECT count(*)::DOUBLE AS k, sum(n) AS n, sum(bad) AS x, sum(n * n) AS sq, sum(bad * bad / n) AS b FROM g_{name}),
+s_{name} AS (SELECT count(*)::DOUBLE AS k, sum(n) AS n, sum(bad) AS x, sum(n * n) AS sq, sum(bad * bad / n) AS b FROM g_{name} WHERE n > 0),
 k_{name} AS (SELECT CASE WHEN n IS NULL OR NOT (0 < x AND x < n) OR k < 2 THEN 1.0 ELSE 1 / least(greatest(
   ((b - n * (x / n) * (x / n)) / ((x / n) * (1 - x / n)) - (k - 1)) / greatest(n - sq / n - (k - 1), 1e-9), 1e-4), 0.5) - 1 END AS kappa FROM s_{name}),
 a_{name} AS (SELECT g.*, kappa * {mean} + g.bad AS a, kappa * (1 - {mean}) + g.n - g.bad AS b FROM g_{name} g {join}, k_{name}),
@@ -142,8 +180,8 @@ m_{name} AS (SELECT *, a / (a + b) AS mean FROM a_{name})"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 split AS (SELECT page_id, coalesce({lower.format("regexp_extract(rest, '^[^/?#]*')")}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
 worst AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-counted AS (SELECT host, count(*) AS n, sum(bad) AS bad, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS p,
-  regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM split JOIN worst USING (page_id) GROUP BY host),
+counted AS (SELECT host, count(worst.page_id) AS n, coalesce(sum(bad), 0) AS bad, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS p,
+  regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM split LEFT JOIN worst ON split.page_id = worst.page_id GROUP BY host),
 hosts AS (SELECT host, n, bad,
   CASE WHEN regexp_matches(bare, '^[0-9.]+$') THEN 'ip' WHEN array_to_string(p[-2:], '.') IN ({two}) THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix,
   CASE WHEN regexp_matches(bare, '^[0-9.]+$') THEN bare WHEN array_to_string(p[-2:], '.') IN ({two}) THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain FROM counted),
