@@ -2,12 +2,14 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arborist.llm import ann, bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality, toxicity, url_filter
 
@@ -268,13 +270,82 @@ def test_quality(spark):
     rows = [(i, prose(80, rnd), "en") for i in range(150)] + [(i, " ".join("".join(rnd.choice("#$%&xqz9") for _ in range(6)) for _ in range(60)), "en") for i in range(150, 170)] + [(170, None, "en"), (171, "", None), (172, prose(50, rnd), None), (None, prose(50, rnd), "en")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(0, 170)] + [(None, 1, 0)], "doc_id bigint, quality int, toxic int")
-    near, far = (got(quality.classified(docs, labels, most=m)) for m in (quality.BROADCAST_GRAMS, 0))
+    near, far = (got(quality.classified(docs, labels, most=m, quantile=0.9)) for m in (quality.HOT_GRAMS, 60))
     assert [near[i]["keep"] for i in (170, 171)] == [True, True]
-    assert sum(near[i]["keep"] for i in range(150)) >= 148 and not any(near[i]["keep"] for i in range(150, 170))
-    assert all(near[i]["log_perplexity"] == pytest.approx(far[i]["log_perplexity"], abs=1e-9) for i in near if near[i]["log_perplexity"])
+    # the cut is the quantile of the trusted documents that trained nothing, on the grid
+    apart = [r["doc_id"] for r in docs.where(~quality.trained_on(F.col("doc_id"))).select("doc_id").collect() if r["doc_id"] is not None and r["doc_id"] < 150]
+    cells = sorted(math.ceil(near[i]["log_perplexity"] * quality.GRID) for i in apart)
+    assert {near[i]["cut"] for i in range(170)} == {cells[math.ceil(len(cells) * 0.9) - 1] / quality.GRID}
+    assert all(near[i]["keep"] == (near[i]["log_perplexity"] <= near[i]["cut"]) for i in range(170))
+    assert sum(near[i]["keep"] for i in range(150)) >= 120 and not any(near[i]["keep"] for i in range(150, 170))
+    assert near == far
+    out = got(quality.op4(docs, labels))
+    assert sum(out[i]["keep"] for i in range(150)) >= 148 and not any(out[i]["keep"] for i in range(150, 170))
     m = quality.model(docs).groupBy("lang", "ctx").agg({"p": "sum", "b": "max"}).collect()
     assert all(r[2] + r[3] == pytest.approx(1) for r in m)
     assert got(quality.op4(docs, labels.limit(0)))[160]["keep"]
+    clash = docs.withColumns({"keep": F.lit(9), "cut": F.lit("x"), "key": F.lit(1), "row": F.lit(2)})
+    assert sorted(quality.kept(clash, labels).columns) == sorted(clash.columns) and got(quality.classified(clash, labels))[3]["keep"] is True
+    assert quality.op4(docs.limit(0), labels).count() == 0 and quality.kept(docs.limit(0), labels).count() == 0
+
+
+def brute_perplexity(train, texts):
+    """Interpolated modified Kneser-Ney over characters of words, by definition. One language."""
+    top, order = {}, 5
+    def grams(word):
+        padded = f" {word} "
+        return [(padded[max(0, i - order + 1) : i], padded[i]) for i in range(1, len(padded))]
+    for t in train:
+        for w in t.split():
+            for g in grams(w):
+                top[g] = top.get(g, 0) + 1
+    # the longest n-grams, and those that start a word, have raw counts; all others count what stands before them
+    count, seen = dict(top), set(top)
+    for n in range(order - 1, 0, -1):
+        lower = {}
+        for ctx, ch in {g for g in seen if len(g[0]) == n}:
+            lower[ctx[1:], ch] = lower.get((ctx[1:], ch), 0) + 1
+        for g, c in lower.items():
+            count[g] = max(count.get(g, 0), c)
+            seen.add(g)
+    levels = {}
+    for (ctx, _), c in count.items():
+        levels.setdefault(len(ctx), []).append(c)
+    d = {}
+    for n, cs in levels.items():
+        k = [sum(c == i for c in cs) for i in range(5)]
+        for i in (1, 2, 3):
+            y = k[1] / (k[1] + 2 * k[2]) if k[1] else 0
+            d[n, i] = max(0.1, min(i - 0.05, i - (i + 1) * y * k[i + 1] / k[i])) if k[1] and k[2] and k[i] else 0.5 * i if i < 3 else 1.5
+    by = {}
+    for (ctx, ch), c in count.items():
+        by.setdefault(ctx, {})[ch] = c
+    def prob(ctx, ch):
+        below = prob(ctx[1:], ch) if ctx else 1 / (len(by[""]) + 1)
+        if ctx not in by:
+            return below
+        total, cut = sum(by[ctx].values()), {x: min(d[len(ctx), min(c, 3)], c) for x, c in by[ctx].items()}
+        own = (by[ctx][ch] - cut[ch]) / total if ch in by[ctx] else 0
+        return own + sum(cut.values()) / total * below
+    out = []
+    for t in texts:
+        g = [x for w in t.split() for x in grams(w)]
+        out.append(-sum(math.log(prob(*x)) for x in g) / len(g) if g else None)
+    return out
+
+
+def test_perplexity_equals_brute_force(spark):
+    rnd = random.Random(20)
+    train = [prose(rnd.randrange(1, 60), rnd) for _ in range(30)]
+    texts = [*train[:5], "", "x" * 3000, "été \x85 unseen words", "the the the", prose(40, rnd), "ing\u3000ha\U0001f600"]
+    frame = lambda rows: spark.createDataFrame([("en", t) for t in rows], "lang string, text string")
+    scores = quality.gram_scores(quality.counted(frame(texts)), quality.model(frame(train))).cache()
+    want = brute_perplexity(train, texts)
+    for most in (quality.HOT_GRAMS, 20, 0):
+        out = quality.scored(frame(texts).withColumn("i", F.monotonically_increasing_id()), scores, ["en"], most, ("i",)).orderBy("i").collect()
+        mine = [None if r["total"] is None else -r["total"] / quality.SCALE / r["chars"] for r in out]
+        assert [x is None for x in mine] == [x is None for x in want]
+        assert all(a == pytest.approx(b, abs=1e-6) for a, b in zip(mine, want) if b is not None)
 
 
 def test_toxicity(spark):

@@ -38,7 +38,7 @@ def test_quality_of_languages_with_little_trusted_text(spark):
     rows += [(i, text(plain, 80), None) for i in range(300, 310)] + [(i, text(plain, 80), "xx") for i in range(310, 320)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in [*range(150), *range(200, 240)]], "doc_id bigint, quality int, toxic int")
-    for most in (quality.BROADCAST_GRAMS, 0):
+    for most in (quality.HOT_GRAMS, 100):
         out = {r["doc_id"]: r for r in quality.classified(docs, labels, most=most).collect()}
         assert all(out[i]["keep"] and out[i]["log_perplexity"] is None for i in range(300, 320))
         assert sum(out[i]["keep"] for i in range(240, 260)) >= 19 and not any(out[i]["keep"] for i in range(260, 265))
