@@ -36,6 +36,7 @@ from collections.abc import Iterable, Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -56,23 +57,23 @@ FROM cuts c JOIN vocab a ON a.tok = substr(c.tok, 1, 2 * k) JOIN vocab b ON b.to
 """
 #: Merged tokens that are part of a merge of lower rank.
 EARLY = "CREATE TABLE early AS SELECT DISTINCT x AS merged FROM (SELECT unnest([l, r]) AS x, merged FROM merges) WHERE merged < x"
-#: One merge a step: for short words, of which a query holds many.
+#: One merge a step: for short words, of which a query holds many. k is word * 2^32 + position.
 ENCODE_SHORT = """
-WITH RECURSIVE bpe(step, word, pos, tok) AS (
-  SELECT 0, word, pos, tok FROM seed
+WITH RECURSIVE bpe(step, k, tok) AS (
+  SELECT 0, k, tok FROM seed
   UNION ALL
   SELECT * FROM (
-    WITH here AS (SELECT step, word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt, lead(pos) OVER (PARTITION BY word ORDER BY pos) AS nxt_pos FROM bpe),
-    least AS (SELECT h.word, min(m.merged::BIGINT * 4294967296 + h.pos) AS k, arg_min(h.nxt_pos, m.merged::BIGINT * 4294967296 + h.pos) AS gone
-      FROM here h JOIN merges m ON m.pair = h.tok::BIGINT * 4294967296 + h.nxt GROUP BY h.word)
-    SELECT h.step + 1, h.word, h.pos, CASE WHEN h.pos = l.k % 4294967296 THEN (l.k // 4294967296)::INTEGER ELSE h.tok END
-    FROM here h JOIN least l ON h.word = l.word WHERE h.pos <> l.gone))
-SELECT word, list(tok ORDER BY pos) AS ids FROM bpe JOIN (SELECT word, max(step) AS step FROM bpe GROUP BY word) USING (word, step) GROUP BY word
+    WITH here AS (SELECT step, k, tok, lead(tok) OVER w AS nxt, lead(k) OVER w AS nxt_k FROM bpe WINDOW w AS (ORDER BY k)),
+    least AS (SELECT h.k >> 32 AS word, min(m.merged::BIGINT * 4294967296 + (h.k & 4294967295)) AS best, arg_min(h.nxt_k, m.merged::BIGINT * 4294967296 + (h.k & 4294967295)) AS gone
+      FROM here h JOIN merges m ON m.pair = h.tok::BIGINT * 4294967296 + h.nxt WHERE h.k >> 32 = h.nxt_k >> 32 GROUP BY h.k >> 32)
+    SELECT h.step + 1, h.k, CASE WHEN h.k & 4294967295 = l.best & 4294967295 THEN (l.best >> 32)::INTEGER ELSE h.tok END
+    FROM here h JOIN least l ON h.k >> 32 = l.word WHERE h.k <> l.gone))
+SELECT k >> 32 AS word, list(tok ORDER BY k) AS ids FROM bpe JOIN (SELECT k >> 32 AS word, max(step) AS step FROM bpe GROUP BY 1) l ON k >> 32 = l.word AND bpe.step = l.step GROUP BY 1
 """
 #: All merges of the least rank in one step: for long words. A token that went into the one before it is -1.
 ENCODE_LONG = """
 WITH RECURSIVE bpe(word, pos, tok) USING KEY (word, pos) AS (
-  SELECT word, pos, tok FROM seed
+  SELECT k >> 32, k & 4294967295, tok FROM seed
   UNION
   SELECT * FROM (
     WITH here AS (SELECT word, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS nxt_pos, row_number() OVER w AS n FROM recurring.bpe WHERE tok >= 0 WINDOW w AS (PARTITION BY word ORDER BY pos)),
@@ -86,8 +87,8 @@ WITH RECURSIVE bpe(word, pos, tok) USING KEY (word, pos) AS (
 SELECT word, list(tok ORDER BY pos) AS ids FROM bpe WHERE tok >= 0 GROUP BY word
 """
 DECODE = """
-SELECT s.seq, CASE WHEN count(v.tok) = count(*) THEN string_agg(v.tok, '' ORDER BY s.pos) END AS hex
-FROM ids s LEFT JOIN vocab v ON s.id = v.id GROUP BY s.seq
+SELECT s.seq, CASE WHEN count(v.tok) = count(*) THEN unhex(string_agg(v.tok, '' ORDER BY s.pos)) END AS bytes, string_agg(s.id::VARCHAR, ',' ORDER BY s.pos) AS ids, count(*) AS n
+FROM ids s LEFT JOIN vocab v ON s.id = v.id GROUP BY s.seq ORDER BY s.seq
 """
 
 
@@ -127,57 +128,69 @@ class Tokenizer:
                 n += 1
         return [*out, word[start:]]
 
-    def _merged(self, query: str, pieces: list[bytes], rows) -> list[list[int]]:
-        """Ids of each piece; rows: how many token rows a piece of a length needs."""
-        out: list[list[int]] = [[] for _ in pieces]
-        start = 0
-        while start < len(pieces):
-            end, n = start, 0
-            while end < len(pieces) and (end == start or n + rows(len(pieces[end])) <= QUERY_ROWS):
-                n += rows(len(pieces[end]))
-                end += 1
-            sizes = np.array([len(p) for p in pieces[start:end]])
-            tok = self.byte[np.frombuffer(b"".join(pieces[start:end]), np.uint8)]
-            pos = np.arange(len(tok)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("seed", pa.table({"word": np.repeat(np.arange(start, end, dtype=np.int32), sizes), "pos": pos.astype(np.int32), "tok": tok}))
-            for w, ids in self.db.execute(query).fetchall():
-                out[w] = ids
-            self.db.unregister("seed")
-            start = end
+    def _query(self, name: str, rows: dict[str, np.ndarray], query: str) -> pa.Table:
+        self.db.register(name, pa.table(rows))
+        out = self.db.sql(query).to_arrow_table()
+        self.db.unregister(name)
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word by the recursive query; a word that is a token is that token."""
-        out = [[self.whole[w]] if w in self.whole else [] for w in words]
-        pieces, own = [], []
+    def _merged(self, query: str, pieces: list[bytes], which: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, id) rows of the pieces ``which``, in order within a piece; rows: how many token rows lengths need."""
+        sizes = np.array([len(pieces[i]) for i in which.tolist()], np.int64)
+        need = np.cumsum(rows(sizes))
+        start, found = 0, []
+        while start < len(which):
+            end = max(start + 1, int(np.searchsorted(need, (need[start - 1] if start else 0) + QUERY_ROWS, "right")))
+            n = sizes[start:end]
+            tok = self.byte[np.frombuffer(b"".join(pieces[i] for i in which[start:end].tolist()), np.uint8)]
+            pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
+            got = self._query("seed", {"k": (np.repeat(which[start:end], n) << 32) + pos, "tok": tok}, query)
+            ids = got.column("ids").combine_chunks()
+            found.append((np.repeat(got.column("word").to_numpy(), pc.list_value_length(ids).to_numpy()), ids.flatten().to_numpy()))
+            start = end
+        own, ids = zip(*found) if found else ((np.zeros(0, np.int64),), (np.zeros(0, np.int32),))
+        return np.concatenate(own), np.concatenate(ids)
+
+    def encoded_rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(word, id) rows in order: by the recursive query; a word that is a token is that token."""
+        pieces: list[bytes] = []
+        own: list[int] = []
+        token: list[int] = []
         for i, w in enumerate(words):
-            if w and not out[i]:
-                parts = [w] if len(w) <= SHORT else self.cut(w)
-                pieces += parts
-                own += [i] * len(parts)
-        short = [j for j, p in enumerate(pieces) if 1 < len(p) <= SHORT]
-        long = [j for j, p in enumerate(pieces) if len(p) > SHORT]
-        ids = [[int(self.byte[p[0]])] if len(p) == 1 else [] for p in pieces]
-        for query, which, rows in ((ENCODE_SHORT, short, lambda n: n * (n + 1) // 2), (ENCODE_LONG, long, lambda n: 8 * n)):
-            for j, found in zip(which, self._merged(query, [pieces[j] for j in which], rows), strict=True):
-                ids[j] = found
-        for i, found in zip(own, ids, strict=True):
-            out[i] += found
-        return out
+            t = self.whole.get(w, -1)
+            parts = [w] if t >= 0 or len(w) <= SHORT else self.cut(w)
+            pieces += parts
+            own += [i] * len(parts)
+            token += [t] * len(parts)
+        known, size = np.array(token, np.int64), np.array([len(p) for p in pieces], np.int64)
+        single = np.array([self.byte[p[0]] if len(p) == 1 else -1 for p in pieces], np.int64)
+        known = np.where(known < 0, single, known)
+        short, long = (np.flatnonzero((known < 0) & (size > 1) & on) for on in (size <= SHORT, size > SHORT))
+        done = np.flatnonzero(known >= 0)
+        found = [(done, known[done]), self._merged(ENCODE_SHORT, pieces, short, lambda n: n * (n + 1) // 2), self._merged(ENCODE_LONG, pieces, long, lambda n: 8 * n)]
+        piece, ids = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.argsort(piece, kind="stable")
+        return np.array(own, np.int64)[piece[order]] if own else piece, ids[order].astype(np.int32)
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word."""
+        own, ids = self.encoded_rows(words)
+        return [x.tolist() for x in np.split(ids, np.searchsorted(own, np.arange(1, len(words))))] if words else []
+
+    def _decoded(self, seq: np.ndarray, ids: np.ndarray) -> pa.Table:
+        """seq, bytes, ids (joined by commas), n of rows in order, by an ordered aggregation."""
+        first = np.concatenate([[True], seq[1:] != seq[:-1]]) if len(seq) else np.zeros(0, bool)
+        at = np.arange(len(seq))
+        return self._query("ids", {"seq": seq, "pos": at - np.maximum.accumulate(np.where(first, at, 0)), "id": ids}, DECODE)
 
     def decode_ids(self, sequences: list[list[int] | None]) -> list[bytes | None]:
-        """Bytes of each id sequence by an ordered aggregation."""
+        """Bytes of each id sequence."""
         out: list[bytes | None] = [None if s is None else b"" for s in sequences]
-        seq, pos, ids = [], [], []
-        for i, s in enumerate(sequences):
-            seq += [i] * len(s or ())
-            pos += range(len(s or ()))
-            ids += s or ()
-        if seq:
-            self.db.register("ids", pa.table({"seq": pa.array(seq, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())}))
-            for i, x in self.db.execute(DECODE).fetchall():
-                out[i] = None if x is None else bytes.fromhex(x)
-            self.db.unregister("ids")
+        size = [len(s or ()) for s in sequences]
+        if sum(size):
+            got = self._decoded(np.repeat(np.arange(len(sequences)), size), np.array([i for s in sequences for i in s or ()], np.int64))
+            for i, x in zip(got.column("seq").to_pylist(), got.column("bytes").to_pylist()):
+                out[i] = x
         return out
 
     def learn(self, words: Iterable[str]) -> None:
@@ -191,9 +204,8 @@ class Tokenizer:
                     new.append(w)
         if not new:
             return
-        ids = self.encode_words([w.encode() for w in new])
-        for w, i, b in zip(new, ids, self.decode_ids(ids), strict=True):
-            self.seen[w] = ",".join(map(str, i)), len(i), b
+        got = self._decoded(*self.encoded_rows([w.encode() for w in new]))
+        self.seen.update(zip(new, zip(*(got.column(c).to_pylist() for c in ("ids", "n", "bytes"))), strict=True))
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
         split = [self.split(t) for t in texts]
