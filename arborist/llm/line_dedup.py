@@ -5,13 +5,17 @@ Native: DataFrame and SQL functions only.
 1. Lines become 128-bit key hashes. One partially aggregated count per key
    gives the number of documents that hold it; a key that fills a third of all
    rows leaves each task as one row.
-2. Only lines whose key reaches ``min_docs`` go on. They are range-partitioned
-   by (hash, salt) with a secondary sort by document and position, and a window
-   streams over each run: its first row is the first occurrence within the
-   salt, and the least of those over the salts is the first occurrence of all.
-   The salt comes from the document, so a hot key spreads over ``SALTS`` tasks.
+2. Only lines whose key reaches ``min_docs`` go on; they are written, so that
+   ranges are drawn from them and not from the texts again. They are
+   range-partitioned by (hash, salt) with a secondary sort by document and
+   position, and a window streams over each run: its first row is the first
+   occurrence within the salt, and the least of those over the salts is the
+   first occurrence of all. The salt comes from the document and has a value
+   for each ``SALTED`` documents of the key, so a hot key spreads over as many
+   tasks as it needs.
 3. Dropped positions are packed into 64-bit words, of which only those with a
-   set bit are kept: a sparse bitmap for each document, joined to its text.
+   set bit are kept: a sparse bitmap for each document. Bitmaps go to the texts
+   by broadcast up to ``BROADCAST_BITMAPS`` bytes, by a shuffle join beyond.
 
 Defined cases: a null or empty text is one empty line; empty keys are never
 dropped; a document is a distinct (doc_id, text), so repeated rows count once
@@ -27,7 +31,10 @@ from pyspark.sql.window import Window
 
 from .common import SPACES, ascii_lower, written
 
-SALTS = 64
+#: Documents of a key that share a salt.
+SALTED = 50_000
+#: Bytes of bitmaps that may be broadcast.
+BROADCAST_BITMAPS = 64_000_000
 #: Frequent keys that may be broadcast (24 bytes each); beyond it they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -86,8 +93,9 @@ def keep_bitmaps(
     often = written(frequent_keys(rows, min_docs, min_chars), "line-keys")
     if often.count() <= BROADCAST_KEYS:
         often = F.broadcast(often)
-    lines = _lines(rows, min_chars).join(often.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    ranged = lines.withColumn("salt", F.pmod(F.xxhash64("d", "t"), F.lit(SALTS))).repartitionByRange("h1", "h2", "salt")
+    salts = F.ceil(F.col("n_docs") / SALTED)
+    lines = _lines(rows, min_chars).join(often, ["h1", "h2"]).withColumn("salt", F.pmod(F.xxhash64("d", "t"), salts)).drop("n_docs")
+    ranged = written(lines, "frequent-lines").repartitionByRange("h1", "h2", "salt")
     run = Window.partitionBy("h1", "h2", "salt").orderBy("d", "t", "pos")
     streamed = ranged.withColumn("first_in_salt", F.row_number().over(run) == 1)
     firsts = streamed.where("first_in_salt").groupBy("h1", "h2").agg(F.min(F.struct("d", "t", "pos")).alias("f")).select("h1", "h2", "f.*")
@@ -120,8 +128,11 @@ def _kept(lines: Column, words: Column) -> Column:
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with all its columns, ``text`` reduced to the lines kept, and ``__n_lines``, ``__n_dropped``, ``__n_first``."""
     bitmaps = keep_bitmaps(docs, doc_id, text, **options).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("words").alias("__words"), F.col("n_first").alias("__n_first"))
+    bitmaps = written(bitmaps, "bitmaps")
+    size = bitmaps.agg(F.sum(16 * F.coalesce(F.size("__words"), F.lit(0)) + 48)).first()[0] or 0
+    bitmaps = F.broadcast(bitmaps) if size <= BROADCAST_BITMAPS else bitmaps
     there = docs[doc_id].eqNullSafe(bitmaps["__d"]) & (F.xxhash64(docs[text]) == bitmaps["__t"])
-    joined = docs.join(bitmaps.hint("shuffle_hash"), there, "left").withColumn("__lines", split_lines(F.col(text)))
+    joined = docs.join(bitmaps, there, "left").withColumn("__lines", split_lines(F.col(text)))
     kept = joined.withColumn("__kept", _kept(F.col("__lines"), F.col("__words")))
     out = kept.withColumns(
         {
