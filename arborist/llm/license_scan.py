@@ -2,14 +2,17 @@
 
 Native: DataFrame and SQL functions only.
 
-Text is brought to words with one space on each side. Base phrases are counted
-with string functions over every whole text. The method's rules (hundreds of
-regexes, see ``license_rules``) run only on chunks of 64 words, cut at every
-40th word so that any match of up to 24 words lies whole in some chunk, and
-only if a chunk holds a rule's keyword: chunks join the fixed rule table by
-keyword. Detections of a document are put in order of start, longest first,
-then priority; one that lies within an earlier one of its own or a higher
-priority is suppressed. That pass is a running maximum for each priority, so a
+Text is brought to words with one space on each side, once. Base phrases are
+counted with string functions over every whole text; texts that hold a rule's
+keyword keep their words for the rules, and this table is written, so that no
+text is taken apart twice. The method's rules (hundreds of regexes, see
+``license_rules``) run only on chunks of 64 words, cut at every 40th word so
+that any match of up to 24 words lies whole in some chunk, and only if a chunk
+holds a rule's keyword and, if the rule names a licence, a word of that name:
+chunks join the fixed rule table by keyword. Detections of a document are put
+in order of start, longest first, then priority, then rule; one that lies
+within an earlier one of its own or a higher priority is suppressed, whatever
+else overlaps stays. That pass is a running maximum for each priority, so a
 text full of detections costs a sort, not pairs.
 
 Defined cases: null and empty texts have no words, no labels and score 0; ids
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 from .license_rules import MOST_WORDS, rules
 
 #: Base phrases and labels of the contract.
@@ -64,26 +67,35 @@ def base(df: DataFrame) -> DataFrame:
 
 
 def rule_table(spark) -> DataFrame:
-    """The fixed rules; a few hundred short rows, so always fit to broadcast."""
-    return spark.createDataFrame(rules(), "rule int, label string, keyword string, regex string, priority int, relevance double")
+    """The fixed rules as literal rows; a few hundred short ones, so always fit to broadcast."""
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = ", ".join(
+        f"({i}, {text(label)}, {text(keyword)}, array({', '.join(map(text, names))}), {text(regex)}, {priority}, {sure}D)"
+        for i, label, keyword, names, regex, priority, sure in rules()
+    )
+    return spark.sql(f"SELECT rule, label, keyword, cast(names AS array<string>) AS names, regex, priority, relevance FROM VALUES {rows} AS r(rule, label, keyword, names, regex, priority, relevance)")
+
+
+def gate(w: Column) -> Column:
+    """Whether some rule's keyword stands in words between spaces."""
+    return F.rlike(w, F.lit(f" (?:{'|'.join(sorted({r[2] for r in rules()}))}) "))
 
 
 def detections(df: DataFrame) -> DataFrame:
     """d, t, label, start, end (words), relevance of what survives suppression. df: d, t, w."""
     table = rule_table(df.sparkSession)
     keywords = sorted({r[2] for r in rules()})
-    gate = F.rlike("w", F.lit(f" (?:{'|'.join(keywords)}) "))
     words = F.split(F.trim("w"), "  ")
     chunks = (
-        df.where(gate)
-        .select("d", "t", words.alias("words"))
+        df.select("d", "t", words.alias("words"))
         .select("d", "t", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STEP))).alias("at"))
         .select("d", "t", "at", F.slice("words", F.col("at") + 1, CHUNK).alias("words"))
         .withColumn("keys", F.array_intersect("words", F.array(*map(F.lit, keywords))))
         .where(F.size("keys") > 0)
-        .select("d", "t", "at", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("chunk"), F.explode("keys").alias("keyword"))
+        .select("d", "t", "at", "words", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("chunk"), F.explode("keys").alias("keyword"))
     )
-    tried = chunks.join(F.broadcast(table), "keyword").where(F.expr("rlike(chunk, regex)"))
+    named = (F.size("names") == 0) | F.arrays_overlap("words", "names")
+    tried = chunks.join(F.broadcast(table), "keyword").where(named).where(F.expr("rlike(chunk, regex)"))
     parts = tried.select(
         "d", "t", "at", "rule", "label", "priority", "relevance",
         F.expr("split(chunk, regex)").alias("between"), F.expr("regexp_extract_all(chunk, regex, lit(0))".replace("lit(0)", "0")).alias("found"),
@@ -107,7 +119,7 @@ def detections(df: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("d", "t").orderBy("start", F.desc("end"), F.desc("priority"), "rule")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    levels = sorted({r[4] for r in rules()})
+    levels = sorted({r[5] for r in rules()})
     reach = [F.max(F.when(F.col("priority") >= p, F.col("end"))).over(before).alias(f"reach{p}") for p in levels]
     own = F.coalesce(*[F.when(F.col("priority") == p, F.col(f"reach{p}")) for p in levels])
     return seen.select("*", *reach).where(own.isNull() | (own < F.col("end"))).select("d", "t", "label", "relevance", "start", "end")
@@ -116,9 +128,10 @@ def detections(df: DataFrame) -> DataFrame:
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, n_words, n_base, first_word, last_word, base, labels (arrays), score for every row."""
     rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), words_of(F.col(text)).alias("w"))
-    found = detections(rows).groupBy("d", "t").agg(F.collect_set("label").alias("more"), F.max("relevance").alias("sure"))
+    rows = written(base(rows).withColumn("w", F.when(gate(F.col("w")), F.col("w"))), "license-words")
+    found = detections(rows.where("w is not null").select("d", "t", "w")).groupBy("d", "t").agg(F.collect_set("label").alias("more"), F.max("relevance").alias("sure"))
     found = found.select(F.col("d").alias("fd"), F.col("t").alias("ft"), "more", "sure")
-    slim = base(rows).drop("w")
+    slim = rows.drop("w")
     out = slim.join(found, F.col("d").eqNullSafe(F.col("fd")) & (F.col("t") == F.col("ft")), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.greatest(F.when(F.size("base") > 0, 1.0).otherwise(0.0), F.coalesce("sure", F.lit(0.0)))
