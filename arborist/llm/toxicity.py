@@ -3,33 +3,40 @@
 The kernel compares strings by their common three-character subsequences, gaps
 allowed: one that spans s characters weighs ``DECAY ** s``. So an insult with
 inserted characters, a gap or a new ending stays close to the insult. Strings
-are words: lower-cased, with marks inside dropped and look-alike digits
-folded; letters written apart are joined.
-
-Training reads labelled documents only (a bounded, documented sample of
-``MOST_LABELLED`` rows, least hashes first, whose crc32 says training).
-Document frequencies by label, counted over all words of that sample, choose words
-typical of toxic documents (by log-likelihood ratio, above a limit that grows
-with the number of words tried) and words of the others. ``LANDMARKS`` of them
-span a Nystroem approximation of the kernel, in which a linear machine is
-fitted (squared hinge, Newton steps); usual words that it takes for toxic are
-then added as hard negatives, ``ROUNDS`` times. As the decision is linear in kernels to
-landmarks, it folds to one weight for each subsequence: scoring a word sums
-weights over its own subsequences, with no kernel left to compute. A
-document's score is a logistic function, fitted on the training documents, of
-its highest word decision over the whole text.
-
-Scoring is one pass without shuffle. Words already scored are kept in a
+are windows of sentences: words, lower-cased, with marks inside dropped and
+look-alike digits folded; letters written apart, joined; and neighbours of at
+most ``PIECE`` letters each with the blank between them, so that an insult may
+be broken in two.
+
+Training reads labelled sentences only: those of a bounded, documented sample
+of ``MOST_LABELLED`` documents, least hashes first, whose crc32 says training.
+Equal sentences are one, toxic if all documents that hold them are. Every
+window counts as a positive example for each toxic sentence that holds it and
+as a negative one for each other, so an ordinary word of toxic sentences pulls
+both ways and what only toxic sentences hold pulls one. The machine (squared
+hinge, Newton steps, in a Nystroem approximation of the kernel spanned by
+``LANDMARKS`` windows) is fitted on the ``MOST_SEEN`` windows that most toxic
+sentences hold and on ``MOST_OTHERS`` of the rest, by hash; windows that it
+takes for toxic against most of their sentences are then added as hard
+negatives, ``ROUNDS`` times. As the decision is linear in kernels to landmarks,
+it folds to one weight for each subsequence: scoring a window sums weights over
+its own subsequences, with no kernel left to compute. A document's score is a
+logistic function, fitted on the training documents, of its highest window
+decision, at most the margin, over the whole text.
+
+Scoring is one pass without shuffle. Windows already scored are kept in a
 bounded table per worker.
 
 Defined cases: null, empty or wordless texts get the score of the lowest
-decision; null labels train nothing; null ids hash as the empty string; with
-no toxic or no other training document every score is the share of toxic ones
-(0 without any); repeated rows repeat; extra columns are ignored.
+decision; words of any length are read in pieces; null labels train nothing;
+null ids hash as the empty string; with no toxic or no other training document
+every score is the share of toxic ones (0 without any); no documents give no
+rows; repeated rows repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,10 +48,11 @@ from pyspark.sql import functions as F
 from .common import written
 from .words import sliced
 
-DECAY, SPAN, LONGEST = 0.7, 8, 16
-MOST_LABELLED, MOST_POSITIVE, MOST_NEGATIVE, MOST_HARD, LANDMARKS = 20_000, 600, 3_000, 1_500, 192
-#: Evidence (log-likelihood ratio, nats) that makes a word typical of toxic documents.
-EVIDENCE, RIDGE, ROUNDS = 9.0, 0.05, 2
+DECAY, SPAN, LONGEST, PIECE = 0.7, 8, 16, 5
+MOST_LABELLED, MOST_SEEN, MOST_OTHERS, MOST_HARD, LANDMARKS = 20_000, 1_500, 4_000, 1_500, 256
+#: Sentences beyond which a window's weight doesn't grow; how much more an example of a toxic sentence weighs.
+MOST_WEIGHT, TOXIC_WEIGHT = 50, 2.0
+RIDGE, ROUNDS = 0.05, 2
 WORDS_KEPT = 200_000
 FLOOR = -3.0
 ALPHABET = 48
@@ -55,7 +63,9 @@ _WEIGHTS = DECAY ** (_TRIPLES[:, 2] - _TRIPLES[:, 0] + 1.0)
 
 
 def _code(ch: str) -> int:
-    """0: none, 1: border, 2-27: a-z, the rest: other letters."""
+    """0: none, 1: border or blank, 2-27: a-z, the rest: other letters."""
+    if ch == " ":
+        return 1
     o = ord(ch) - 97
     return o + 2 if 0 <= o < 26 else 28 + ord(ch) % (ALPHABET - 28)
 
@@ -65,25 +75,36 @@ def folded(token: str) -> str:
     return "".join(c for c in (LOOK_ALIKE.get(x, x) for x in inner) if c.isalpha())
 
 
-def words(text: str) -> set[str]:
-    """Distinct tokens of a whole text, and words whose letters stand apart."""
-    tokens = text.lower().split()
-    out = set(tokens)
+def tokens(text: str) -> set[str]:
+    """Distinct tokens of a text, words whose letters stand apart, and pairs of short neighbours."""
+    line = text.lower().split()
+    out = set(line)
     if sum(len(t) == 1 for t in out) >= 3:
         run = []
-        for t in [*tokens, "  "]:
+        for t in [*line, "  "]:
             if len(t) == 1 and t.isalnum():
                 run.append(t)
             else:
                 if len(run) >= 3:
                     out.add("".join(run))
                 run = []
+    out.update([f"{a} {b}" for a, b in zip(line, line[1:]) if len(a) <= PIECE and len(b) <= PIECE and len(a) + len(b) > 3])
     return out
 
 
-def windows(word: str) -> list[str]:
-    """Pieces of at most LONGEST characters, half overlapping."""
-    return [word[i : i + LONGEST] for i in range(0, max(1, len(word) - LONGEST // 2), LONGEST // 2)] if len(word) > LONGEST else [word]
+def windows(token: str) -> list[str]:
+    """Folded strings of a token: pieces of at most LONGEST characters, half overlapping; none if too short to tell."""
+    if " " in token:
+        a, b = map(folded, token.split(" "))
+        return [f"{a} {b}"] if a and b and len(a) + len(b) > 3 else []
+    word = folded(token)
+    if len(word) > LONGEST:
+        return [word[i : i + LONGEST] for i in range(0, max(1, len(word) - LONGEST // 2), LONGEST // 2)]
+    return [word] if len(word) > 2 else []
+
+
+def sentences(text: str) -> set[str]:
+    return {x for s in re.split(r"[.!?\n]+", text) if (x := s.strip())}
 
 
 def _subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +136,9 @@ class Machine:
             out[i : i + 2048] = (self.weights[codes] * w).sum(1) + self.bias
         return out
 
-    def learn(self, tokens: set[str]) -> None:
+    def learn(self, found: set[str]) -> None:
         new = []
-        for t in tokens:
+        for t in found:
             if t not in self.seen:
                 if t in self.older:
                     self.seen[t] = self.older[t]
@@ -125,8 +146,7 @@ class Machine:
                     new.append(t)
         pieces, own = [], []
         for i, t in enumerate(new):
-            word = folded(t)
-            for p in windows(word) if len(word) > 2 else ():
+            for p in windows(t):
                 pieces.append(p)
                 own.append(i)
         best = np.full(len(new), FLOOR)
@@ -135,15 +155,16 @@ class Machine:
         self.seen.update(zip(new, best.tolist()))
 
     def highest(self, texts: list[str | None]) -> np.ndarray:
-        """The highest word decision of each whole text."""
-        sets = [words(t or "") for t in texts]
+        """The highest window decision of each whole text."""
+        sets = [tokens(t or "") for t in texts]
         if len(self.seen) > WORDS_KEPT:
             self.older, self.seen = self.seen, {}
         self.learn(set().union(*sets))
         return np.array([max(map(self.seen.__getitem__, s), default=FLOOR) for s in sets])
 
     def score(self, highest: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * highest + self.shift, -40, 40)))
+        # decisions beyond the margin are as sure as those on it
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(highest, 1) + self.shift, -40, 40)))
 
 
 def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
@@ -162,15 +183,12 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> n
     return v
 
 
-def fitted(positive: list[str], negative: list[str], hard: list[str] = ()) -> Machine:
-    """The machine of typical words; the first of each list, and of hard negatives, serve as landmarks."""
-    marks = [*positive[: LANDMARKS // 2], *hard[: LANDMARKS // 4]]
-    marks += negative[: LANDMARKS - len(marks)]
+def fitted(strings: list[str], toxic: np.ndarray, others: np.ndarray, marks: list[str]) -> Machine:
+    """The machine of windows that stand in so many toxic and other sentences; marks: the landmarks."""
     dense = np.zeros((len(marks), ALPHABET**3), np.float32)
     codes, w = _subsequences(marks)
     for i in range(len(marks)):
         np.add.at(dense[i], codes[i], w[i])
-    strings = [*positive, *hard, *negative]
 
     def kernel(to: list[str]) -> np.ndarray:
         out = np.zeros((len(to), len(marks)))
@@ -184,9 +202,11 @@ def fitted(positive: list[str], negative: list[str], hard: list[str] = ()) -> Ma
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(strings) - len(positive))])
-    weight = np.where(y > 0, max(1.0, (y < 0).sum() / (4 * len(positive))), 1.0)
-    v = _newton(kernel(strings) @ root, y, weight, RIDGE)
+    x = kernel(strings) @ root
+    share = np.minimum(toxic + others, MOST_WEIGHT) / (toxic + others)
+    y = np.repeat([1.0, -1.0], len(strings))
+    weight = np.concatenate([TOXIC_WEIGHT * toxic * share, others * share])
+    v = _newton(np.concatenate([x, x]), y, weight / weight.mean(), RIDGE)
     return Machine((root @ v[:-1]) @ dense.astype(np.float64), float(v[-1]))
 
 
@@ -194,15 +214,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _decided(frame: DataFrame, machine: Machine) -> DataFrame:
-    """word, f: the decision on each word."""
-    sent = frame.sparkSession.sparkContext.broadcast(machine)
+def _decided(counts: DataFrame, machine: Machine) -> DataFrame:
+    """window, t, c, f: the decision on each window."""
+    sent = counts.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.decide(batch.column(0).to_pylist()))], ["word", "f"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.decide(batch.column(0).to_pylist()))], ["window", "t", "c", "f"])
 
-    return frame.select("word").mapInArrow(run, "word string, f double")
+    return counts.select("window", "t", "c").mapInArrow(run, "window string, t long, c long, f double")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Machine | float:
@@ -210,34 +230,47 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mach
     spark = docs.sparkSession
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, 0):
+                rows = [(x, y) for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for x in sentences(t or "")]
+                x, y = zip(*rows) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.int32())], ["sentence", "toxic"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, 0):
-                found = [({folded(t) for t in words(x or "")}, y) for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                rows = [(w, y) for ws, y in found for w in ws if 2 < len(w) <= LONGEST]
+                rows = [(w, y) for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for w in {w for t in tokens(x) for w in windows(t)}]
                 w, y = zip(*rows) if rows else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(y, pa.int32())], ["word", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(y, pa.int32())], ["window", "toxic"])
 
     n_toxic, n = texts.agg(F.sum("toxic"), F.count("*")).first()
     if not n or not 0 < n_toxic < n:
         return float((n_toxic or 0) / n if n else 0.0)
-    counts = texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(each, "word string, toxic int")
-    counts = written(counts.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "word-counts")
-    share, p0 = F.col("t") / (F.col("t") + F.col("c")), n_toxic / n
-    plus = lambda x, ratio: F.when(F.col(x) > 0, F.col(x) * F.log(ratio)).otherwise(0.0)
-    evidence = F.when(share > p0, plus("t", share / p0) + plus("c", (1 - share) / (1 - p0))).otherwise(0.0)
-    limit = max(EVIDENCE, np.log(max(counts.count(), 1)) + 1)
-    typical = counts.where(evidence > limit).where("t >= 4 * c").orderBy(F.desc(evidence), "word").limit(MOST_POSITIVE)
-    usual = counts.where(evidence < 2).where("c > 0").select("word")
-    positive, negative = ([r[0] for r in d.select("word").collect()] for d in (typical, usual.orderBy(F.xxhash64("word"), "word").limit(MOST_NEGATIVE)))
-    if not positive or not negative:
+    said = texts.mapInArrow(parted, "sentence string, toxic int").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
+    counts = said.mapInArrow(each, "window string, toxic int").groupBy("window").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = written(counts, "window-counts")
+    p0 = counts.agg(F.sum("t") / F.sum(F.col("t") + F.col("c"))).first()[0]
+    if not p0 or p0 == 1:
         return float(n_toxic / n)
-    machine = fitted(positive, negative)
-    for _ in range(ROUNDS):
-        hard = _decided(usual, machine).orderBy(F.desc("f"), "word").limit(MOST_HARD)
-        machine = fitted(positive, negative, [r[0] for r in hard.collect()])
+    seen = counts.where("t > 0").orderBy(F.desc("t"), "window").limit(MOST_SEEN)
+    other = counts.join(seen.select("window"), "window", "left_anti").orderBy(F.xxhash64("window"), "window").limit(MOST_OTHERS)
+    # words that toxic sentences hold most beyond their share are landmarks
+    excess = F.desc(F.col("t") - p0 * (F.col("t") + F.col("c")))
+    beyond = [r["window"] for r in counts.where("not contains(window, ' ')").orderBy(excess, "window").limit(LANDMARKS // 2).collect()]
+    rows = {r["window"]: (r["t"], r["c"]) for df in (seen, other) for r in df.collect()}
+    usual, hard = [r for r in rows if rows[r][1] > 0 and r not in set(beyond)][-LANDMARKS:], []
+    machine = None
+    for step in range(ROUNDS + 1):
+        if step:
+            found = _decided(counts.where(f"t < c * {TOXIC_WEIGHT}"), machine).orderBy(F.desc("f"), "window").limit(MOST_HARD).collect()
+            hard = [r["window"] for r in found if r["f"] > -1]
+            rows |= {r["window"]: (r["t"], r["c"]) for r in found}
+        marks = [*beyond, *hard[: LANDMARKS // 4]]
+        marks = list(dict.fromkeys([*marks, *usual]))[:LANDMARKS]
+        machine = fitted(list(rows), np.array([t for t, _ in rows.values()], float), np.array([c for _, c in rows.values()], float), marks)
     sent = spark.sparkContext.broadcast(machine)
 
     def high(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +278,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mach
             for part in sliced(batch, 0):
                 yield pa.RecordBatch.from_arrays([pa.array(sent.value.highest(part.column(0).to_pylist())), part.column(1).cast(pa.int32())], ["f", "toxic"])
 
-    seen = texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(high, "f double, toxic int").toArrow()
-    f, y = seen.column("f").to_numpy(), seen.column("toxic").to_numpy().astype(float)
-    machine.slope, machine.shift = _logistic(f, y)
+    highs = texts.mapInArrow(high, "f double, toxic int").toArrow()
+    f, y = highs.column("f").to_numpy(), highs.column("toxic").to_numpy().astype(float)
+    machine.slope, machine.shift = _logistic(np.minimum(f, 1), y)
     return machine
 
 
