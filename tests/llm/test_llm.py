@@ -231,6 +231,35 @@ def test_license_scan(spark):
     assert license_scan.op8(df.limit(0)).count() == 0
 
 
+def test_license_rules_equal_brute_force(spark):
+    """Notices in random order against every rule on whole texts, and suppression by comparing all pairs."""
+    from arborist.llm.license_rules import rules
+
+    rnd = random.Random(17)
+    parts = ["Licensed under the GPL 3", "Copyright 2020 Acme.", "All rights reserved.", "the MIT License", "license: MIT", "GNU General Public License version 2", "provided as is without warranty of any kind",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy", "http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: BSD-3-Clause", "available under the terms of the MPL 2.0",
+             "SPDX-License-Identifier: GPL-2.0 only", "subject to the zlib license", "the BSD license", "dual licensed under Apache 2.0", "cc by nc 4.0 license", "proprietary license", "public domain"]
+    texts = ["\n".join(rnd.choice([prose(rnd.randrange(1, 60), rnd), rnd.choice(parts), rnd.choice(parts)]) for _ in range(rnd.randrange(1, 14))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    out, some = got(license_scan.op8(df)), set()
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+        line = f" {' '.join(words)} "
+        seen = []
+        for rule, label, keyword, names, regex, priority, sure in rules():
+            for m in re.finditer(regex, line):
+                start, n = line[: m.start()].count(" "), m.group().count(" ")
+                if keyword in words and (not names or set(names) & set(words)):
+                    seen.append((start, -(start + n), -priority, rule, label, sure))
+        seen.sort()
+        left = [x for j, x in enumerate(seen) if not any(y[1] <= x[1] and y[2] <= x[2] for y in seen[:j])]
+        some |= {x[4] for x in left}
+        base = {lab for p, lab in license_scan.PHRASES if f" {p} " in line}
+        assert set(filter(None, out[i]["labels"].split(","))) == base | {x[4] for x in left}, (i, t)
+        assert out[i]["score"] == max([float(bool(base)), *(x[5] for x in left)])
+    assert len(some) >= 10
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "HTTP://A.Example.NET/en/x?y#z", "http://b.net/q", "http://example.com/de/1", "http://xexample.com/de/1", "https://m.example.org/fr/2", "https://example.org", "http://bad.test/a?b://c"] + [f"http://bad.test/{i}" for i in range(40)] + [f"http://good{i}.test2/x" for i in range(40)]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
@@ -357,12 +386,14 @@ def test_toxicity(spark):
         rnd.shuffle(w)
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(bad)))
-    rows += [(400, None), (401, ""), (402, "you wor.th.less thing"), (403, "m o r o n here"), (404, "the ingst hare"), (None, "a")]
+    rows += [(400, None), (401, ""), (402, "you wor.th.less thing"), (403, "m o r o n here"), (404, "the ingst hare"), (405, "mo ron there"), (406, "the mor on ingst"), (407, "x" * 100_000 + "moron"), (None, "a")]
     docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     out = got(toxicity.op9(docs, marks))
     held = [i for i in range(400) if out[i]["held_out"]]
     assert sum(out[i]["predicted"] == (i % 5 == 0) for i in held) >= 0.98 * len(held)
     assert [out[i]["predicted"] for i in (400, 401, 402, 403, 404)] == [0, 0, 1, 1, 0]
+    assert out[405]["score"] > out[404]["score"] and out[406]["score"] > out[404]["score"] and out[407]["score"] > out[404]["score"]
+    assert toxicity.op9(docs.limit(0), marks).count() == 0
     assert all(0 <= r["score"] <= 1 for r in out.values())
     assert got(toxicity.op9(docs, marks.limit(0)))[3]["score"] == 0
 

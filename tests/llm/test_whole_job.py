@@ -98,8 +98,8 @@ def test_ann_block_keeps_distinct_ids():
     x = np.random.default_rng(4).normal(size=(30, 4))
     q = np.random.default_rng(5).normal(size=(5, 4))
     ids = np.arange(30)
-    once = ann._local_best(q, np.full(5, -1), x, ids, 10)
-    thrice = ann._local_best(q, np.full(5, -1), np.concatenate([x, 0.5 * x, x]), np.concatenate([ids] * 3), 10)
+    once = ann._local_best(q, x, ids, 10)
+    thrice = ann._local_best(q, np.concatenate([x, 0.5 * x, x]), np.concatenate([ids] * 3), 10)
     best = np.maximum(q @ x.T, 0.5 * q @ x.T)
     assert len(once[0]) == len(thrice[0]) == 50
     assert [set(thrice[1][thrice[0] == i]) for i in range(5)] == [set(np.argsort(-best[i])[:10]) for i in range(5)]
@@ -162,3 +162,41 @@ def test_chat_linking_equals_brute_force(spark):
             known = want.get((r["conv_id"], r["call_id"]))
             assert (r["status"] == "orphan") == (known is None)
             assert known is None or known[2] is None or r["order_turn"] == known[2]
+
+
+def brute_nearest(x, q, k):
+    s = sorted((-float(ann.dot(x[q][None], x[j][None])[0]), j) for j in range(len(x)) if j != q)
+    return [j for _, j in s[:k]]
+
+
+@pytest.mark.parametrize("kind", ["even", "uneven"])
+def test_ann_recall_where_lists_are_skipped(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 32)) * (1 if kind == "even" else rng.lognormal(0, 0.3, (20_000, 1)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    ask = df.where("vec_id % 100 = 0")
+    out = {}
+    for r in ann.nearest(df, ask).collect():
+        out.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = x[::100] @ x.T
+    s[np.arange(200), np.arange(0, 20_000, 100)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    recall = np.mean([len(out[i * 100] & set(b.tolist())) / 20 for i, b in enumerate(best)])
+    assert all(len(v) == 20 for v in out.values()) and 0.95 <= recall < 1, recall
+
+
+def test_ann_lengths_sizes_and_copies(spark):
+    """Queries of another length take no part; huge components don't break the index; queries that are copies each leave out themselves."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 3)) * 1e200
+    x[0:41] = x[20]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, *((100 + 20 * i, [1.0, 2.0]) for i in range(19))], "vec_id bigint, embedding array<double>")
+    out = ann.op10(df).collect()
+    assert {r["query_id"] for r in out} == {0, 20, 40}
+    small = ann.op10(spark.createDataFrame([(i, (v / 1e200).tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()
+    for q in (0, 20, 40):
+        mine = [r["vec_id"] for r in sorted((r for r in small if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert mine == brute_nearest(x / 1e200, q, 20)
+    odd = spark.createDataFrame([(i, [1.0 * i, 1.0, 1.0]) for i in range(1, 20)] + [(20, [1.0, 1.0]), (40, [2.0, 1.0])], "vec_id bigint, embedding array<double>")
+    assert ann.op10(odd).count() == 0
