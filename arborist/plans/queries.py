@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +16,38 @@ from arborist.operators.linkage import cut_weight, single_linkage_label
 from arborist.operators.lsh import assigned, spanner, stars
 from arborist.operators.mst import mst, weighted
 from arborist.operators.tree import ancestors, cophenetic, infix, lca, leaves, parents, well_formed
-from arborist.plans.cluster_tree import cluster_tree, from_edges, knn_tree
-from arborist.sources.points import numbered, points
+from arborist.plans.cluster_tree import cluster_tree, knn_tree
+from arborist.session import shared_folder, stored
+from arborist.sources.points import numbered, points, read_csv
 
 SEED, D_MIN, D_MAX, SCALE_FACTOR, DIM = 11, 0.2, 8.0, 1.3, 64
 #: The scale and target dimension of single-scale queries.
 ONE = (8, ladder(D_MIN, D_MAX, SCALE_FACTOR)[8])
 T_LIPSCHITZ, T_BALLS = 8, 4
-K, N_CLUSTERS, HEIGHT_SHARE = 10, 7, 0.9
+K, N_CLUSTERS, HEIGHT = 10, 7, 400.0
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return points(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding")
 
 
-def _line(spark: SparkSession, d: str) -> DataFrame:
+def _line(spark: SparkSession, d: str, column: str = "s_acctbal") -> DataFrame:
     """Suppliers as points of one dimension, ids 0..n-1 by key."""
-    rows = numbered(spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_acctbal"), "s_suppkey")
-    return points(rows, "id", columns=["s_acctbal"])
+    rows = numbered(spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.col(column).alias("c")), "s_suppkey")
+    return points(rows, "id", columns=["c"])
+
+
+def _csv_points(spark: SparkSession, d: str) -> DataFrame:
+    """Parts written as a headerless CSV and read as points: each place and how many points share it."""
+    path = f"{shared_folder(spark)}/points-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{d}/part.parquet").select(F.col("p_size").cast("double"), (F.col("p_size") * 0.5).alias("half")).write.csv(path)
+    return read_csv(spark, path, 2).groupBy(F.get("x", 0).alias("c0"), F.get("x", 1).alias("c1")).agg(F.count("*").alias("n_points"))
+
+
+def _equal_points(spark: SparkSession, d: str) -> DataFrame:
+    """The dendrogram of points most of which stand at the same places: heights of 0 and ties."""
+    p = _line(spark, d, "s_nationkey")
+    return single_linkage_label(cut_weight(p, mst(p, _chain(p))))
 
 
 def _one(lsh: str) -> Draw:
@@ -50,24 +66,22 @@ def _spanner(spark: SparkSession, d: str, lsh: str = "lipschitz") -> DataFrame:
     return spanner(_embeddings(spark, d), SCALE_FACTOR, D_MIN, D_MAX, lsh, SEED)
 
 
-def _complete(p: DataFrame) -> DataFrame:
-    half = pairwise(p)
-    return half.select(F.col("i").alias("u"), F.col("j").alias("v"))
+def _chain(p: DataFrame) -> DataFrame:
+    """Points of one dimension, each with the next in order, and a star at the least id: a sparse graph that holds the tree."""
+    ranked = stored(numbered(p.select(F.get("x", 0).alias("c"), F.col("id").alias("point")), "c", "point"), "chain")
+    after = ranked.select((F.col("id") - 1).alias("id"), F.col("point").alias("next"))
+    chain = ranked.join(after, "id").select(F.least("point", "next").alias("u"), F.greatest("point", "next").alias("v"))
+    return chain.unionByName(p.where("id > 0").select(F.lit(0).cast("bigint").alias("u"), F.col("id").alias("v")))
 
 
-def _line_tree(spark: SparkSession, d: str) -> DataFrame:
+def _line_mst(spark: SparkSession, d: str) -> DataFrame:
     p = _line(spark, d)
-    return mst(p, _complete(p))
+    return mst(p, _chain(p))
 
 
-def paired_tree(spark: SparkSession, d: str) -> DataFrame:
-    """A dendrogram over the embeddings' row numbers: row i joins nodes 2i and 2i + 1 at height i + 1."""
-    n = spark.read.parquet(f"{d}/embeddings.parquet").count()
-    size = [1] * n
-    for i in range(n - 1):
-        size.append(size[2 * i] + size[2 * i + 1])
-    rows = [(i, 2 * i, 2 * i + 1, i + 1.0, size[n + i]) for i in range(n - 1)]
-    return spark.createDataFrame(rows, "row int, left bigint, right bigint, height double, size bigint")
+def _line_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The dendrogram of the suppliers, written: queries on trees read it more than once."""
+    return stored(single_linkage_label(cut_weight(_line(spark, d), _line_mst(spark, d))), "line-tree")
 
 
 def _pairs(spark: SparkSession, tree: DataFrame) -> DataFrame:
@@ -76,7 +90,7 @@ def _pairs(spark: SparkSession, tree: DataFrame) -> DataFrame:
 
 
 def _on_tree(f):
-    return lambda spark, d: f(spark, paired_tree(spark, d))
+    return lambda spark, d: f(spark, _line_tree(spark, d))
 
 
 def _least(df: DataFrame) -> DataFrame:
@@ -84,9 +98,8 @@ def _least(df: DataFrame) -> DataFrame:
     return df.join(least, "label").select("id", "first")
 
 
-def _tree_and_points(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = _line(spark, d)
-    return p, from_edges(p, _complete(p))
+def _of_line(f, **more):
+    return lambda spark, d: f(_line(spark, d), _line_tree(spark, d), **more)
 
 
 QUERIES = {
@@ -103,9 +116,11 @@ QUERIES = {
     "spanner_edges": _spanner,
     "spanner_balls": lambda s, d: _spanner(s, d, "balls"),
     "edge_weights": lambda s, d: weighted(_embeddings(s, d), _edges(s, d, "lipschitz")),
-    "mst": lambda s, d: _line_tree(s, d).select("j", "u", "v", "w"),
-    "cut_weight": lambda s, d: cut_weight(_line(s, d), _line_tree(s, d)).select("j", "u", "v", "cw"),
-    "linkage": lambda s, d: single_linkage_label(cut_weight(_line(s, d), _line_tree(s, d))),
+    "mst": _line_mst,
+    "cut_weight": lambda s, d: cut_weight(_line(s, d), _line_mst(s, d)).select("j", "u", "v", "cw"),
+    "linkage": _line_tree,
+    "linkage_of_equal_points": _equal_points,
+    "csv_points": _csv_points,
     "ultrametric": lambda s, d: cluster_tree(_embeddings(s, d), D_MIN, D_MAX, SCALE_FACTOR, "balls", SEED),
     "ultrametric_lipschitz": lambda s, d: cluster_tree(_embeddings(s, d), D_MIN, D_MAX, SCALE_FACTOR, "lipschitz", SEED),
     "ultrametric_experimental": lambda s, d: cluster_tree(_embeddings(s, d), D_MIN, D_MAX, SCALE_FACTOR, "experimental", SEED),
@@ -118,11 +133,11 @@ QUERIES = {
     "lca_pairs": _on_tree(lambda s, t: lca(t, _pairs(s, t))),
     "cophenetic": _on_tree(lambda s, t: cophenetic(t, _pairs(s, t))),
     "clusters_k": _on_tree(lambda s, t: _least(clusters(t, N_CLUSTERS))),
-    "clusters_height": _on_tree(lambda s, t: clusters_at(t, HEIGHT_SHARE * t.count()).select("id", F.col("label").alias("first"))),
+    "clusters_height": _on_tree(lambda s, t: clusters_at(t, HEIGHT).select("id", F.col("label").alias("first"))),
     "tree_well_formed": _on_tree(lambda s, t: s.createDataFrame([(well_formed(t),)], "ok boolean")),
-    "distortion_exact": lambda s, d: quality.distortion(*_tree_and_points(s, d)),
-    "distortion_sampled": lambda s, d: quality.sampled_distortion(*_tree_and_points(s, d), seed=SEED),
-    "distortion_average": lambda s, d: quality.average_distortion(*_tree_and_points(s, d), seed=SEED),
+    "distortion_exact": _of_line(quality.distortion),
+    "distortion_sampled": _of_line(quality.sampled_distortion, seed=SEED),
+    "distortion_average": lambda s, d: _of_line(quality.average_distortion, seed=SEED)(s, d).select(F.round("distortion", 9).alias("distortion"), "n_zero_pairs"),
     "sampled_pairs": lambda s, d: quality.sampled_pairs(_embeddings(s, d), 10_000, SEED),
 }
 
@@ -166,24 +181,80 @@ def _text(members: str, grid: bool) -> str:
     return f"WITH {_P} SELECT id, {'u, ' if grid else ''}array_to_string(cells, ',') AS cells FROM ({members})"
 
 
-def _spanner_sql() -> str:
-    scales = [draw("lipschitz", i, w, DIM, T_LIPSCHITZ, SEED) for i, w in enumerate(ladder(D_MIN, D_MAX, SCALE_FACTOR))]
-    return f"WITH {_P} {_star(' UNION ALL '.join(map(_lipschitz, scales)), 'lipschitz')} UNION SELECT (SELECT min(id) FROM p), id FROM p WHERE id > (SELECT min(id) FROM p)"
+def _spanner_of(lsh: str) -> str:
+    t, one = (T_LIPSCHITZ, _lipschitz) if lsh == "lipschitz" else (T_BALLS, _balls)
+    scales = [one(draw(lsh, i, w, DIM, t, SEED)) for i, w in enumerate(ladder(D_MIN, D_MAX, SCALE_FACTOR))]
+    return f"{_star(' UNION ALL '.join(f'({x})' for x in scales), lsh)} UNION SELECT (SELECT min(id) FROM p), id FROM p WHERE id > (SELECT min(id) FROM p)"
+
+
+#: The minimum spanning tree t of edges e (u, v) of points p: a step takes the first edge, in order of (w, u, v), between two components.
+_MST = f"""
+e AS MATERIALIZED (SELECT u, v, w, row_number() OVER (ORDER BY w, u, v) AS k FROM (SELECT g.u, g.v, {_L2.format('a.x', 'b.x')} AS w FROM graph g JOIN p a ON a.id = g.u JOIN p b ON b.id = g.v)),
+f(id, comp, k) USING KEY (id) AS (
+  SELECT id, id AS comp, 0::BIGINT AS k FROM p
+  UNION
+  SELECT * FROM (
+    WITH pick AS (SELECT e.k, a.comp AS ca, b.comp AS cb FROM e JOIN recurring.f a ON a.id = e.u JOIN recurring.f b ON b.id = e.v WHERE a.comp <> b.comp ORDER BY e.k LIMIT 1)
+    SELECT c.id, least(ca, cb), 0::BIGINT FROM recurring.f c, pick WHERE c.id >= 0 AND c.comp = greatest(ca, cb) UNION ALL SELECT -k, 0::BIGINT, k FROM pick)),
+t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY e.k) - 1 AS j, u, v, w FROM e JOIN f ON f.id = -e.k)"""
+#: Cut weights cw of the tree t: a step joins two components at their centres; then the dendrogram lk.
+_FOLD = f"""
+n AS (SELECT count(*)::BIGINT AS n FROM p),
+g(id, centre, size, rad, step, cw) USING KEY (id) AS (
+  (SELECT id, id AS centre, 1::BIGINT AS size, 0.0::DOUBLE AS rad, 0::BIGINT AS step, NULL::DOUBLE AS cw FROM p UNION ALL SELECT -1::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0::BIGINT, NULL::DOUBLE)
+  UNION
+  SELECT * FROM (
+    WITH ends AS (SELECT t.j, a.centre AS ca, b.centre AS cb FROM t JOIN recurring.g s ON s.id = -1 AND s.step = t.j JOIN recurring.g a ON a.id = t.u JOIN recurring.g b ON b.id = t.v),
+    m AS (SELECT j, CASE WHEN x.size < y.size THEN cb ELSE ca END AS c0, CASE WHEN x.size < y.size THEN ca ELSE cb END AS c1,
+      CASE WHEN x.size < y.size THEN y.rad ELSE x.rad END AS r0, CASE WHEN x.size < y.size THEN x.rad ELSE y.rad END AS r1, x.size + y.size AS size
+      FROM ends JOIN recurring.g x ON x.id = ca JOIN recurring.g y ON y.id = cb),
+    d AS (SELECT m.*, a.x AS x0, {_L2.format('a.x', 'b.x')} AS d FROM m JOIN p a ON a.id = c0 JOIN p b ON b.id = c1),
+    light AS (SELECT z.id, z.size, z.rad, d.c0, {_L2.format('d.x0', 'q.x')} AS reach FROM recurring.g z JOIN d ON z.centre = d.c1 JOIN p q ON q.id = z.id)
+    SELECT id, c0, size, rad, 0::BIGINT, NULL::DOUBLE FROM light
+    UNION ALL SELECT c0, c0, size, greatest(r0, (SELECT max(reach) FROM light)), 0::BIGINT, NULL::DOUBLE FROM d
+    UNION ALL SELECT -1::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, j + 1, NULL::DOUBLE FROM d
+    UNION ALL SELECT -2 - j, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0::BIGINT, 5 * greatest(d, r0 - d, r1 - d) FROM d)),
+c AS MATERIALIZED (SELECT t.j, t.u, t.v, t.w, g.cw, row_number() OVER (ORDER BY g.cw, t.j) - 1 AS row FROM t JOIN g ON g.id = -2 - t.j),
+h(id, top, size, step, l, r, height) USING KEY (id) AS (
+  (SELECT id, id AS top, 1::BIGINT AS size, 0::BIGINT AS step, 0::BIGINT AS l, 0::BIGINT AS r, 0.0::DOUBLE AS height FROM p UNION ALL SELECT -1::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE)
+  UNION
+  SELECT * FROM (
+    WITH m AS (SELECT c.row, a.top AS l, b.top AS r, a.size + b.size AS size, c.cw FROM c JOIN recurring.h s ON s.id = -1 AND s.step = c.row JOIN recurring.h a ON a.id = c.u JOIN recurring.h b ON b.id = c.v)
+    SELECT z.id, n.n + m.row, m.size, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE FROM recurring.h z JOIN m ON z.top = m.l OR z.top = m.r, n WHERE z.id >= 0
+    UNION ALL SELECT -1::BIGINT, -1::BIGINT, 0::BIGINT, row + 1, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE FROM m
+    UNION ALL SELECT -2 - row, -1::BIGINT, size, 0::BIGINT, l, r, cw FROM m)),
+lk AS MATERIALIZED (SELECT -2 - id AS row, l AS "left", r AS "right", height, size FROM h WHERE id <= -2)"""
+_LINKAGE_OUT = 'SELECT row, "left", "right", height, size FROM lk'
+_LINE = """s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS id, s_acctbal::DOUBLE AS x FROM supplier), p AS (SELECT id, [x] AS x FROM s),
+apart AS (SELECT id, lag(id) OVER (ORDER BY x, id) AS before, x - lag(x) OVER (ORDER BY x, id) AS w FROM s),
+t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w, least(id, before), greatest(id, before)) - 1 AS j, least(id, before) AS u, greatest(id, before) AS v, w FROM apart WHERE before IS NOT NULL)"""
+#: The suppliers' dendrogram, its parents and its ancestors.
+_TREE = f"""WITH RECURSIVE {_LINE}, {_FOLD},
+size AS (SELECT id AS node, 1::BIGINT AS size, 0.0::DOUBLE AS height FROM p UNION ALL SELECT n + row, size, height FROM lk, n),
+par AS (SELECT "left" AS node, n + row AS parent, 0::BIGINT AS off FROM lk, n UNION ALL SELECT "right", n + row, 2 * s.size FROM lk JOIN size s ON s.node = "left", n),
+anc(node, anc) AS (SELECT node, node FROM size UNION ALL SELECT a.node, q.parent FROM anc a JOIN par q ON q.node = a.anc),
+inner_left AS (SELECT n + row AS node, s.size AS ls FROM lk JOIN size s ON s.node = "left", n)"""
+_MET = "met AS (SELECT a, b, min(x.anc) AS lca FROM pairs JOIN anc x ON x.node = a JOIN anc y ON y.node = b AND y.anc = x.anc GROUP BY a, b)"
+_PAIRS = f"pairs AS (SELECT a, (a * 7919 + 13) % (2 * n - 1) AS b FROM (SELECT unnest(range(2 * n - 1)) AS a, n FROM n)), {_MET}"
+
+
+def _drawn(n: str) -> str:
+    return f"""SELECT a, b FROM (SELECT ('0x' || substr(md5(concat_ws(':', '{SEED}', id::VARCHAR, 'a')), 1, 13))::BIGINT % n AS a, ('0x' || substr(md5(concat_ws(':', '{SEED}', id::VARCHAR, 'b')), 1, 13))::BIGINT % n AS b
+  FROM (SELECT unnest(range(10000)) AS id), ({n})) WHERE a <> b"""
+
+
+def _ratios(pairs: str) -> str:
+    return f"""{_TREE}, every AS ({pairs}), pairs AS (SELECT DISTINCT a, b FROM every), {_MET},
+ratio AS (SELECT {_L2.format('x.x', 'y.x')} AS l2, s.height AS dist FROM every JOIN met USING (a, b) JOIN size s ON s.node = lca JOIN p x ON x.id = a JOIN p y ON y.id = b),
+r AS (SELECT max(dist / l2) FILTER (WHERE l2 > 0) AS hi, min(dist / l2) FILTER (WHERE l2 > 0) AS lo, avg(dist / l2) FILTER (WHERE l2 > 0) AS mean, count(*) FILTER (WHERE l2 = 0) AS n_zero_pairs FROM ratio)"""
 
 
-_TREE = """WITH RECURSIVE c AS (SELECT count(*)::BIGINT AS n FROM embeddings),
-kin AS (SELECT unnest(range(2 * n - 2)) AS node, n FROM c),
-anc(node, anc) AS (SELECT unnest(range(2 * n - 1)), unnest(range(2 * n - 1)) FROM c
-  UNION ALL SELECT a.node, n + a.anc // 2 FROM anc a, c WHERE a.anc < 2 * n - 2),
-size AS (SELECT anc AS node, count(*) AS size FROM anc, c WHERE node < n GROUP BY anc),
-par AS (SELECT k.node, n + k.node // 2 AS parent, CASE WHEN k.node % 2 = 1 THEN 2 * s.size ELSE 0 END AS off FROM kin k JOIN size s ON s.node = k.node - k.node % 2)"""
-_PAIRS = "pairs AS (SELECT a, (a * 7919 + 13) % (2 * n - 1) AS b FROM (SELECT unnest(range(2 * n - 1)) AS a, n FROM c)), met AS (SELECT a, b, min(x.anc) AS lca FROM pairs JOIN anc x ON x.node = a JOIN anc y ON y.node = b AND y.anc = x.anc GROUP BY a, b)"
-_LINE = "s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS id, s_acctbal::DOUBLE AS x FROM supplier)"
 
 
 def oracle_sql() -> dict[str, str]:
     lip, ball, exp = _one("lipschitz"), _one("balls"), _one("experimental")
     weights = f"SELECT e.u, e.v, {_L2.format('a.x', 'b.x')} AS w FROM ({_star(_lipschitz(lip), 'lipschitz')}) e JOIN p a ON a.id = e.u JOIN p b ON b.id = e.v"
+    near = f"half AS (SELECT a.id AS i, b.id AS j, {_L2.format('a.x', 'b.x')} AS l2 FROM p a JOIN p b ON a.id < b.id), near AS (SELECT u, v, w, row_number() OVER (PARTITION BY u ORDER BY w, v)::INTEGER AS rank FROM (SELECT i AS u, j AS v, l2 AS w FROM half UNION ALL SELECT j, i, l2 FROM half) QUALIFY rank <= {K})"
     pair = f"SELECT a.id AS i, b.id AS j, {_L2.format('a.x', 'b.x')} AS l2 FROM p a JOIN p b ON a.id < b.id"
     return {
         "points_long": f"WITH {_P} SELECT id, unnest(range(len(x)))::INTEGER AS pos, unnest(x) AS val FROM p",
@@ -196,25 +267,33 @@ def oracle_sql() -> dict[str, str]:
         "balls_assign": _text(_balls(ball), True),
         "balls_edges": f"WITH {_P} {_star(_balls(ball), 'balls')}",
         "experimental_edges": f"WITH {_P} {_star(_balls(exp), 'experimental')}",
-        "spanner_edges": _spanner_sql(),
+        "spanner_edges": f"WITH {_P} {_spanner_of('lipschitz')}",
+        "spanner_balls": f"WITH {_P} {_spanner_of('balls')}",
+        **{f"ultrametric{name}": f"WITH RECURSIVE {_P}, graph AS ({_spanner_of(lsh)}), {_MST}, {_FOLD} {_LINKAGE_OUT}" for name, lsh in (("", "balls"), ("_lipschitz", "lipschitz"), ("_experimental", "experimental"))},
+        "knn_linkage": f"WITH RECURSIVE {_P}, {near}, graph AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM near UNION SELECT (SELECT min(id) FROM p), id FROM p WHERE id > (SELECT min(id) FROM p)), {_MST}, {_FOLD} {_LINKAGE_OUT}",
+        "cut_weight": f"WITH RECURSIVE {_LINE}, {_FOLD} SELECT j, u, v, cw FROM c",
+        "linkage": f"WITH RECURSIVE {_LINE}, {_FOLD} {_LINKAGE_OUT}",
+        "linkage_of_equal_points": f"""WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS id, [s_nationkey::DOUBLE] AS x FROM supplier),
+chain AS (SELECT id, lag(id) OVER (ORDER BY x[1], id) AS before FROM p), graph AS (SELECT DISTINCT least(id, before) AS u, greatest(id, before) AS v FROM chain WHERE before IS NOT NULL UNION SELECT 0, id FROM p WHERE id > 0), {_MST}, {_FOLD} {_LINKAGE_OUT}""",
+        "csv_points": "SELECT p_size::DOUBLE AS c0, p_size * 0.5::DOUBLE AS c1, count(*) AS n_points FROM part GROUP BY ALL",
         "edge_weights": f"WITH {_P} {weights}",
-        "mst": f"""WITH {_LINE}, e AS (SELECT id, lag(id) OVER (ORDER BY x, id) AS before, x - lag(x) OVER (ORDER BY x, id) AS w FROM s)
-SELECT (row_number() OVER (ORDER BY w, least(id, before), greatest(id, before)) - 1)::INTEGER AS j, least(id, before) AS u, greatest(id, before) AS v, w FROM e WHERE before IS NOT NULL""",
-        "knn_graph": f"WITH {_P}, h AS ({pair}), b AS (SELECT i AS u, j AS v, l2 AS w FROM h UNION ALL SELECT j, i, l2 FROM h) SELECT u, v, w, row_number() OVER (PARTITION BY u ORDER BY w, v)::INTEGER AS rank FROM b QUALIFY rank <= {K}",
-        "infix_order": f"""{_TREE}, down AS (SELECT a.node, sum(coalesce(p.off, 0)) AS off, count(p.node) AS depth FROM anc a LEFT JOIN par p ON p.node = a.anc GROUP BY a.node)
-SELECT (d.off + CASE WHEN d.node >= n THEN 2 * l.size - 1 ELSE 0 END)::INTEGER AS pos, d.node, d.depth::INTEGER AS depth FROM down d, c LEFT JOIN size l ON l.node = 2 * (d.node - n)""",
+        "mst": f"WITH {_LINE} SELECT j, u, v, w FROM t",
+        "knn_graph": f"WITH {_P}, {near} SELECT u, v, w, rank FROM near",
+        "infix_order": f"""{_TREE}, down AS (SELECT a.node, sum(coalesce(q.off, 0)) AS off, count(q.node) AS depth FROM anc a LEFT JOIN par q ON q.node = a.anc GROUP BY a.node)
+SELECT (d.off + coalesce(2 * i.ls - 1, 0))::INTEGER AS pos, d.node, d.depth::INTEGER AS depth FROM down d LEFT JOIN inner_left i USING (node)""",
         "parent_offsets": f"{_TREE} SELECT node, parent, off FROM par",
         "ancestors": f"{_TREE} SELECT node, anc FROM anc",
-        "leaves_in_order": f"""{_TREE}, down AS (SELECT a.node, sum(coalesce(p.off, 0)) AS off FROM anc a LEFT JOIN par p ON p.node = a.anc GROUP BY a.node)
-SELECT (row_number() OVER (ORDER BY d.off) - 1)::INTEGER AS ord, d.node AS leaf FROM down d JOIN anc a ON a.node = d.node, c WHERE d.node < n AND a.anc = 2 * n - 3""",
+        "leaves_in_order": f"""{_TREE}, down AS (SELECT a.node, sum(coalesce(q.off, 0)) AS off FROM anc a LEFT JOIN par q ON q.node = a.anc GROUP BY a.node)
+SELECT (row_number() OVER (ORDER BY d.off) - 1)::INTEGER AS ord, d.node AS leaf FROM down d JOIN anc a ON a.node = d.node, n WHERE d.node < n AND a.anc = 2 * n - 3""",
         "lca_pairs": f"{_TREE}, {_PAIRS} SELECT a, b, lca FROM met",
-        "cophenetic": f"{_TREE}, {_PAIRS} SELECT a, b, CASE WHEN a = b THEN 0.0 ELSE greatest(lca - n + 1, 0)::DOUBLE END AS dist FROM met, c",
-        "clusters_k": f"""{_TREE}, top AS (SELECT a.node AS id, max(a.anc) AS root FROM anc a, c WHERE a.node < n AND a.anc < 2 * n - {N_CLUSTERS} GROUP BY a.node)
+        "cophenetic": f"{_TREE}, {_PAIRS} SELECT a, b, CASE WHEN a = b THEN 0.0 ELSE height END::DOUBLE AS dist FROM met JOIN size ON node = lca",
+        "clusters_k": f"""{_TREE}, top AS (SELECT a.node AS id, max(a.anc) AS root FROM anc a, n WHERE a.node < n AND a.anc < 2 * n - {N_CLUSTERS} GROUP BY a.node)
 SELECT id, min(id) OVER (PARTITION BY root) AS first FROM top""",
-        "clusters_height": f"""{_TREE}, top AS (SELECT a.node AS id, max(a.anc) AS root FROM anc a, c WHERE a.node < n AND (a.anc < n OR a.anc - n + 1 <= {HEIGHT_SHARE} * (n - 1)) GROUP BY a.node)
+        "clusters_height": f"""{_TREE}, top AS (SELECT a.node AS id, max(a.anc) AS root FROM anc a JOIN size s ON s.node = a.anc, n WHERE a.node < n AND (a.anc < n OR s.height <= {HEIGHT}) GROUP BY a.node)
 SELECT id, min(id) OVER (PARTITION BY root) AS first FROM top""",
-        "tree_well_formed": f"{_TREE} SELECT count(DISTINCT node) = 2 * (SELECT n FROM c) - 2 AS ok FROM par",
-        "sampled_pairs": f"""WITH c AS (SELECT count(*) AS n FROM embeddings), d AS (SELECT unnest(range(10000)) AS id),
-m AS (SELECT ('0x' || substr(md5(concat_ws(':', '{SEED}', id::VARCHAR, 'a')), 1, 13))::BIGINT % n AS a, ('0x' || substr(md5(concat_ws(':', '{SEED}', id::VARCHAR, 'b')), 1, 13))::BIGINT % n AS b FROM d, c)
-SELECT a, b FROM m WHERE a <> b""",
+        "tree_well_formed": f"{_TREE} SELECT count(DISTINCT node) = 2 * (SELECT n FROM n) - 2 AND count(*) = count(DISTINCT node) AS ok FROM par",
+        "distortion_exact": f"{_ratios('SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id')} SELECT greatest(0.0, hi) / least(1000.0, lo) AS distortion, n_zero_pairs FROM r",
+        "distortion_sampled": f"{_ratios(_drawn('SELECT n FROM n'))} SELECT greatest(1.0, hi) / least(1000.0, lo) AS distortion, n_zero_pairs FROM r",
+        "distortion_average": f"{_ratios(_drawn('SELECT n FROM n'))} SELECT round(mean / least(1000.0, lo), 9) AS distortion, n_zero_pairs FROM r",
+        "sampled_pairs": _drawn("SELECT count(*) AS n FROM embeddings"),
     }

@@ -3,12 +3,15 @@ import pytest
 
 from arborist.functions.draws import draw, ladder, target_dimension
 from arborist.operators import cut, distortion, tree
+from arborist.operators.knn import knn
 from arborist.operators.linkage import cut_weight, single_linkage_label
-from arborist.operators.lsh import assigned, bucket_keys, lsh_edges, spanner
+from arborist.operators.lsh import _hash, assigned, bucket_keys, lsh_edges, spanner
 from arborist.operators.mst import boruvka, mst, weighted
 from arborist.plans.cluster_tree import cluster_tree, from_edges, knn_tree
+from arborist.plans.sweep import baseline, sweep
 from arborist.sources.points import from_rows, numbered, points, read_csv
 
+#: Inputs and results known beforehand.
 SQUARES = [[i * i] for i in range(6)]
 LINE = [[-150], [-110], [-50], [0], [1], [70]]
 LINE_TREE = [(0, 3, 4, 5.0, 2), (1, 0, 1, 200.0, 2), (2, 2, 6, 250.0, 3), (3, 8, 5, 400.0, 4), (4, 7, 9, 750.0, 6)]
@@ -66,6 +69,46 @@ def test_cuts(spark, line_tree):
     assert rows(cut.clusters_at(line_tree, 250.0), "id") == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 2), (5, 5)]
 
 
+def test_cuts_with_ties_and_deep_trees(spark):
+    """Against splitting the first of the highest nodes of a list, on random trees with few heights."""
+    rng = np.random.default_rng(2)
+    for n in (2, 7, 12):
+        for _ in range(3):
+            top, rows_ = list(range(n)), []
+            for i, h in enumerate(sorted(rng.integers(1, 4, n - 1))):
+                a, b = (top.pop(int(rng.integers(len(top)))) for _ in range(2))
+                rows_.append((i, a, b, float(h), 2))
+                top.append(n + i)
+            t = spark.createDataFrame(rows_, LINKAGE)
+            for k in (1, 2, 3, 5, n, n + 3):
+                want, splits = [2 * n - 2], 0
+                while splits < k - 1 and any(x >= n for x in want):
+                    at = min(range(len(want)), key=lambda j: (-(rows_[want[j] - n][3] if want[j] >= n else -1), j))
+                    _, left, right, _, _ = rows_[want[at] - n]
+                    want = want[:at] + want[at + 1 :] + [left, right]
+                    splits += 1
+                assert cut.frontier(t, k) == want
+
+
+@pytest.mark.parametrize("block", [7, 10_000])
+def test_neighbours_equal_brute_force(spark, block):
+    x = np.random.default_rng(4).normal(size=(40, 3)).round(1)
+    x[5] = x[6] = x[7]
+    out = {}
+    for r in knn(from_rows(spark, x), 6, block).collect():
+        out.setdefault(r["u"], {})[r["rank"]] = (r["v"], r["w"])
+    for u in range(40):
+        near = sorted((float(np.linalg.norm(x[u] - x[v])), v) for v in range(40) if v != u)[:6]
+        assert [out[u][i][0] for i in range(1, 7)] == [v for _, v in near]
+        assert [out[u][i][1] for i in range(1, 7)] == pytest.approx([w for w, _ in near])
+
+
+def test_sweep(spark):
+    p = from_rows(spark, np.random.default_rng(6).normal(size=(20, 2)))
+    rows_ = [*sweep(p, 0.1, 10, ("lipschitz",), (2.0,), nsample=100), *baseline(p, (3,), 100)]
+    assert [(r[0], r[1]) for r in rows_] == [("lipschitz", 2.0), ("neighbours", 3)] and all(r[3] >= 1 and r[4] >= 1 for r in rows_)
+
+
 def test_distortion(spark):
     x = [[0.0, 0.0], [0.0, 1.0], [3.0, 1.0], [3.0, 1.0]]
     p = from_rows(spark, x)
@@ -95,6 +138,13 @@ def test_families_agree_between_paths(spark, family):
     assert all(u < v for u, v in edges)
 
 
+def test_keys_of_near_cells_differ():
+    """All small cells under all grids: no two share a key."""
+    cells = np.array([(a, b, c) for a in range(-6, 7) for b in range(-6, 7) for c in range(-6, 7)], float)
+    keys = np.concatenate([_hash(np.full(len(cells), u), cells) for u in range(96)])
+    assert len(np.unique(keys)) == len(keys)
+
+
 def test_spanner_and_tree_properties(spark):
     x = np.random.default_rng(5).normal(size=(30, 3))
     p = from_rows(spark, x)
