@@ -5,8 +5,8 @@ allowed: one that spans s characters weighs ``DECAY ** s``. So an insult with
 inserted characters, a gap or a new ending stays close to the insult. Strings
 are windows of sentences: words, lower-cased, with marks inside dropped and
 look-alike digits folded; letters written apart, joined; and neighbours of at
-most ``PIECE`` letters each with the blank between them, so that an insult may
-be broken in two.
+most ``PIECE`` letters each, not both among the ``COMMON`` most frequent words,
+with the blank between them, so that an insult may be broken in two.
 
 Training reads labelled sentences only: those of a bounded, documented sample
 of ``MOST_LABELLED`` documents, least hashes first, whose crc32 says training.
@@ -53,6 +53,8 @@ MOST_LABELLED, MOST_SEEN, MOST_OTHERS, MOST_HARD, LANDMARKS = 20_000, 1_500, 4_0
 #: Sentences beyond which a window's weight doesn't grow; how much more an example of a toxic sentence weighs.
 MOST_WEIGHT, TOXIC_WEIGHT = 50, 2.0
 RIDGE, ROUNDS = 0.05, 2
+#: Words that, next to each other, are no broken insult.
+COMMON = 5_000
 WORDS_KEPT = 200_000
 FLOOR = -3.0
 ALPHABET = 48
@@ -75,8 +77,8 @@ def folded(token: str) -> str:
     return "".join(c for c in (LOOK_ALIKE.get(x, x) for x in inner) if c.isalpha())
 
 
-def tokens(text: str) -> set[str]:
-    """Distinct tokens of a text, words whose letters stand apart, and pairs of short neighbours."""
+def tokens(text: str, common: frozenset[str] = frozenset()) -> set[str]:
+    """Distinct tokens of a text, words whose letters stand apart, and pairs of short neighbours not both ``common``."""
     line = text.lower().split()
     out = set(line)
     if sum(len(t) == 1 for t in out) >= 3:
@@ -88,7 +90,7 @@ def tokens(text: str) -> set[str]:
                 if len(run) >= 3:
                     out.add("".join(run))
                 run = []
-    out.update([f"{a} {b}" for a, b in zip(line, line[1:]) if len(a) <= PIECE and len(b) <= PIECE and len(a) + len(b) > 3])
+    out.update([f"{a} {b}" for a, b in zip(line, line[1:]) if len(a) <= PIECE and len(b) <= PIECE and (a not in common or b not in common) and len(a) + len(b) > 3])
     return out
 
 
@@ -119,15 +121,15 @@ def _subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Machine:
-    """Weights of subsequences, a bias, and the logistic function of a document's best."""
+    """Weights of subsequences, a bias, the logistic function of a document's best, and words too common to be pieces."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+    def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0, common: frozenset[str] = frozenset()):
+        self.weights, self.bias, self.slope, self.shift, self.common = weights, bias, slope, shift, common
         self.seen: dict[str, float] = {}
         self.older: dict[str, float] = {}
 
     def __reduce__(self):
-        return Machine, (self.weights, self.bias, self.slope, self.shift)
+        return Machine, (self.weights, self.bias, self.slope, self.shift, self.common)
 
     def decide(self, strings: list[str]) -> np.ndarray:
         out = np.zeros(len(strings))
@@ -156,7 +158,7 @@ class Machine:
 
     def highest(self, texts: list[str | None]) -> np.ndarray:
         """The highest window decision of each whole text."""
-        sets = [tokens(t or "") for t in texts]
+        sets = [tokens(t or "", self.common) for t in texts]
         if len(self.seen) > WORDS_KEPT:
             self.older, self.seen = self.seen, {}
         self.learn(set().union(*sets))
@@ -271,6 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mach
         marks = [*beyond, *hard[: LANDMARKS // 4]]
         marks = list(dict.fromkeys([*marks, *usual]))[:LANDMARKS]
         machine = fitted(list(rows), np.array([t for t, _ in rows.values()], float), np.array([c for _, c in rows.values()], float), marks)
+    usual = counts.where("not contains(window, ' ')").orderBy(F.desc(F.col("t") + F.col("c")), "window").limit(COMMON).collect()
+    machine.common = frozenset(r["window"] + mark for r in usual for mark in ("", ",", "."))
     sent = spark.sparkContext.broadcast(machine)
 
     def high(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
