@@ -29,7 +29,8 @@ link if 100 * intersection >= percent * union. The steps, each exact:
    its most frequent hub (the member with the largest share of shared
    shingles), exact intersections decide, and links merge into components.
    Then only members of *different* components under a key meet, if their
-   bitmaps allow an intersection large enough.
+   bitmaps allow an intersection large enough; a key of many members is dealt
+   to as many tasks.
 5. Components by minimum labels with pointer jumping; nothing is collected.
 
 Defined cases: a text of fewer than k words is one shingle of all of them;
@@ -294,24 +295,24 @@ def indexed(sets: DataFrame, percent: int) -> DataFrame:
     return core.mapInArrow(run, "key long, sid long, n long, m long, own boolean, " + ", ".join(f"{x} long" for x in maps_))
 
 
-def _dealt(pairs: DataFrame, side: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """``pairs`` and ``side`` with what they join on: a set of many pairs is copied to as many tasks as they need."""
-    hubs = written(pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS).alias("tasks")).where("tasks > 1"), "hubs")
+def _dealt(rows: DataFrame, side: DataFrame, key: str, by: str, most: int = PAIRS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``rows`` and ``side`` with what they join on: where a key has many rows, they are dealt to tasks by ``by`` and its side is copied to each."""
+    hubs = written(rows.groupBy(key).agg(F.ceil(F.count("*") / most).alias("tasks")).where("tasks > 1"), "hubs")
     many = hubs.count()
     if not many:
-        return pairs, side, [key]
+        return rows, side, [key]
     hubs = F.broadcast(hubs) if many <= BROADCAST_HUBS else hubs
-    task, other, none = f"task_{key}", "b" if key == "a" else "a", F.lit(0).cast("long")
-    pairs = pairs.join(hubs, key, "left").withColumn(task, F.coalesce(F.pmod(F.xxhash64(other), "tasks"), none)).drop("tasks")
+    task, none = f"task_{key}", F.lit(0).cast("long")
+    rows = rows.join(hubs, key, "left").withColumn(task, F.coalesce(F.pmod(F.xxhash64(by), "tasks"), none)).drop("tasks")
     side = side.join(hubs, key, "left").withColumn(task, F.explode(F.sequence(none, F.coalesce(F.col("tasks") - 1, none)))).drop("tasks")
-    return pairs, side, [key, task]
+    return rows, side, [key, task]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among pairs (a, b), by exact intersections."""
     pairs = written(pairs, "pairs")
-    pairs, left, on_a = _dealt(pairs, sets.toDF("a", "na", "ta"), "a")
-    pairs, right, on_b = _dealt(pairs, sets.toDF("b", "nb", "tb"), "b")
+    pairs, left, on_a = _dealt(pairs, sets.toDF("a", "na", "ta"), "a", "b")
+    pairs, right, on_b = _dealt(pairs, sets.toDF("b", "nb", "tb"), "b", "a")
     both = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(left, on_a).join(right, on_b).where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
 
@@ -346,14 +347,14 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_ = written(labelled.join(mixed, "key"), "open")
     discard(index)
-    l, r = open_.alias("l"), open_.alias("r")
-    fits = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label"))
+    side = lambda x: open_.select("key", *(F.col(c).alias(f"{x}_{c}") for c in open_.columns if c != "key"))
+    left, right, on = _dealt(side("l"), side("r"), "key", "l_sid")
     # each bit that one bitmap lacks is a shingle that the sets don't share: a bound of the intersection
-    lack = lambda x, y: sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{i}")))) for i in range(MAPS)), F.lit(0))
-    most = F.least(F.col("l.m") - lack("l", "r"), F.col("r.m") - lack("r", "l"))
-    fits &= F.col("l.own") | F.col("r.own")
-    fits &= most * 100 >= (F.col("l.n") + F.col("r.n") - most) * percent
-    rest = l.join(r, fits).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
+    lack = lambda x, y: sum((F.bit_count(F.col(f"{x}_b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}_b{i}")))) for i in range(MAPS)), F.lit(0))
+    most = F.least(F.col("l_m") - lack("l", "r"), F.col("r_m") - lack("r", "l"))
+    fits = (F.col("l_label") < F.col("r_label")) & (F.col("l_own") | F.col("r_own"))
+    fits &= most * 100 >= (F.col("l_n") + F.col("r_n") - most) * percent
+    rest = left.join(right, on).where(fits).select(F.col("l_sid").alias("a"), F.col("r_sid").alias("b")).distinct()
     every = written(found.unionByName(verified(rest, sets, percent)), "links")
     discard(found, open_)
     return every
