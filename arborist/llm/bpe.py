@@ -278,10 +278,11 @@ def digested(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
             n, ids, raw = [], [], []
             for part in chunked(batch.column(1).to_pylist()):
                 for ws in t.pieces(part):
-                    found = [t.seen[w] for w in ws]
-                    n.append(sum(f[1] for f in found))
-                    ids.append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
-                    raw.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
+                    found = zip(*map(t.seen.__getitem__, ws)) if ws else ((), (), ())
+                    own, sizes, part_bytes = found
+                    n.append(sum(sizes))
+                    ids.append(hashlib.sha256(",".join(own).encode()).hexdigest())
+                    raw.append(hashlib.sha256(b"".join(part_bytes)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
