@@ -268,6 +268,9 @@ def test_url_filter(spark):
     assert [tuple(out[i])[1:4] for i in range(9)] == [("", "", None), ("", "", None), ("a.example.net", "/en/x", "example.net/en/"), ("b.net", "/q", "net/"), ("example.com", "/de/1", "example.com/de/"), ("xexample.com", "/de/1", None), ("m.example.org", "/fr/2", "org/fr/"), ("example.org", "", None), ("bad.test", "/a", None)]
     assert [out[i]["verdict"] for i in (0, 2, 3, 4, 6, 8, 60)] == ["allow", "allow", "block", "block", "allow", "block", "allow"]
     assert got(url_filter.op6(pages, labels.limit(0)), "page_id")[8]["verdict"] == "allow"
+    assert url_filter.op6(pages.limit(0), labels).count() == 0
+    twice = url_filter.op6(pages.union(pages).withColumn("verdict", F.lit("x")), labels.union(labels))
+    assert twice.count() == 2 * len(urls)
 
 
 def test_chat_format(spark):

@@ -200,3 +200,25 @@ def test_ann_lengths_sizes_and_copies(spark):
         assert mine == brute_nearest(x / 1e200, q, 20)
     odd = spark.createDataFrame([(i, [1.0 * i, 1.0, 1.0]) for i in range(1, 20)] + [(20, [1.0, 1.0]), (40, [2.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert ann.op10(odd).count() == 0
+
+
+def test_hub_of_thousands_of_near_copies(spark, monkeypatch):
+    """A group of thousands whose hub is dealt to several tasks, and a passage that many unlinked texts share."""
+    monkeypatch.setattr(ngram_join, "PAIRS", 300)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for i in range(2499):
+        w = list(base)
+        w[rnd.randrange(60)] = f"x{i % 700}"
+        texts.append(" ".join(w))
+    passage = [f"p{i}" for i in range(40)]
+    for i in range(900):
+        texts.append(" ".join([*passage, *(f"q{i // 3}z{j}" for j in range(8)), f"r{i}"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r["component_id"] for r in ngram_join.op3(docs).collect()}
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert {out[i] for i in range(2500)} == {0}
+    for i in range(2500, 3400, 3):
+        assert link(i, i + 1) and {out[i], out[i + 1], out[i + 2]} == {i}
