@@ -2,6 +2,13 @@
 
 Stages return the columns of documents, the last one those of its digest. Each
 works on all rows that its predecessor kept.
+
+Defined cases: null and empty texts pass every stage (nothing speaks against
+them) and end as no tokens; null, repeated and clashing ids are rows like any
+other until near duplicates go, of which one row of each group stays, equal
+rows being one group; a null language is one of its own; extra columns of
+documents are left behind; without labels nothing is rejected, without a
+benchmark nothing overlaps; no documents give no rows.
 """
 
 from __future__ import annotations
