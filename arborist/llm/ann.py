@@ -298,3 +298,15 @@ def op10(vectors: DataFrame) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20, among all other vectors."""
     rows = vectors.select("vec_id", "embedding")
     return nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+#: Exact neighbours; the index is exact too while it has no more than LEAST_PROBES lists.
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""

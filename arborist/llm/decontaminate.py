@@ -228,3 +228,26 @@ def op1(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every document that overlaps an item of the benchmark, with the item and the share of its words found."""
     out = overlaps(docs, benchmark)
     return out.withColumn("score", F.col("n_equal") / F.col("n_item_words"))
+
+
+#: States items of 13 words and more; a shorter one would need windows of its own.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), dg AS (SELECT doc_id, p, array_to_string(w[p:p + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM d)),
+ig AS (SELECT item_id, q, array_to_string(w[q:q + 3], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS q FROM i WHERE len(w) >= 13)),
+along AS (SELECT DISTINCT doc_id, item_id, p - q AS diagonal FROM dg JOIN ig USING (g)),
+places AS (SELECT doc_id, item_id, diagonal, q, q + diagonal AS p, w[q] AS x FROM (SELECT a.*, i.w, unnest(range(1, len(i.w) + 1)) AS q FROM along a JOIN i USING (item_id))),
+met AS (SELECT s.doc_id, item_id, diagonal, q, p, d.w[p] = x AS e FROM places s JOIN d USING (doc_id) WHERE p BETWEEN 1 AND len(d.w)),
+windows AS (
+  SELECT *, count(*) OVER f = 13 AND sum(e::INTEGER) OVER f >= 11 AS good, min(CASE WHEN e THEN p END) OVER f AS first FROM met
+  WINDOW f AS (PARTITION BY doc_id, item_id, diagonal ORDER BY q ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), covered AS (
+  SELECT *, bool_or(good) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS within FROM windows
+)
+SELECT doc_id, item_id, min(CASE WHEN good THEN first END) - 1 AS first_word, count(DISTINCT CASE WHEN e AND within THEN q END) AS n_equal, len(any_value(i.w))::BIGINT AS n_item_words,
+  count(DISTINCT CASE WHEN e AND within THEN q END) / len(any_value(i.w)) AS score
+FROM covered JOIN i USING (item_id) GROUP BY doc_id, item_id HAVING bool_or(good)
+"""

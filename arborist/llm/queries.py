@@ -19,6 +19,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
+    "op3_ngram_join": ngram_join.OP3_SQL,
+    "op10_ann": ann.OP10_SQL,
     "op2_chat_format": chat_format.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
