@@ -54,7 +54,7 @@ MOST_LABELLED, MOST_SEEN, MOST_OTHERS, MOST_HARD, LANDMARKS = 20_000, 1_500, 4_0
 MOST_WEIGHT, TOXIC_WEIGHT = 50, 2.0
 RIDGE, ROUNDS = 0.05, 2
 #: Words that, next to each other, are no broken insult.
-COMMON = 5_000
+COMMON = 20_000
 WORDS_KEPT = 200_000
 FLOOR = -3.0
 ALPHABET = 48
@@ -62,26 +62,32 @@ ALPHABET = 48
 LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
 _TRIPLES = np.array([t for t in combinations(range(LONGEST + 2), 3) if t[2] - t[0] < SPAN])
 _WEIGHTS = DECAY ** (_TRIPLES[:, 2] - _TRIPLES[:, 0] + 1.0)
+_MARKS = "!|.,;:?\"'()[]{}#%&*$<>-_"
+_FOLD = str.maketrans(LOOK_ALIKE)
 
 
-def _code(ch: str) -> int:
-    """0: none, 1: border or blank, 2-27: a-z, the rest: other letters."""
-    if ch == " ":
-        return 1
-    o = ord(ch) - 97
-    return o + 2 if 0 <= o < 26 else 28 + ord(ch) % (ALPHABET - 28)
+def _codes(strings: list[str]) -> np.ndarray:
+    """A row of codes for each string, with borders. 0: none, 1: border or blank, 2-27: a-z, the rest: other letters."""
+    size = np.array([len(s) for s in strings], np.int64)
+    o = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.int64)
+    code = np.where(o == 32, 1, np.where((o >= 97) & (o < 123), o - 95, 28 + o % (ALPHABET - 28)))
+    c = np.zeros((len(strings), max(size.max(initial=0), 1) + 2), np.int64)
+    c[np.repeat(np.arange(len(strings)), size), 1 + np.arange(len(o)) - np.repeat(np.cumsum(size) - size, size)] = code
+    c[:, 0] = 1
+    c[np.arange(len(strings)), size + 1] = 1
+    return c
 
 
 def folded(token: str) -> str:
-    inner = token.strip("!|.,;:?\"'()[]{}#%&*$<>-_")
-    return "".join(c for c in (LOOK_ALIKE.get(x, x) for x in inner) if c.isalpha())
+    word = token.strip(_MARKS)
+    return word if word.isalpha() else "".join(filter(str.isalpha, word.translate(_FOLD)))
 
 
 def tokens(text: str, common: frozenset[str] = frozenset()) -> set[str]:
     """Distinct tokens of a text, words whose letters stand apart, and pairs of short neighbours not both ``common``."""
     line = text.lower().split()
     out = set(line)
-    if sum(len(t) == 1 for t in out) >= 3:
+    if len([t for t in out if len(t) == 1]) >= 3:
         run = []
         for t in [*line, "  "]:
             if len(t) == 1 and t.isalnum():
@@ -90,7 +96,10 @@ def tokens(text: str, common: frozenset[str] = frozenset()) -> set[str]:
                 if len(run) >= 3:
                     out.add("".join(run))
                 run = []
-    out.update([f"{a} {b}" for a, b in zip(line, line[1:]) if len(a) <= PIECE and len(b) <= PIECE and (a not in common or b not in common) and len(a) + len(b) > 3])
+    for i in [i for i, t in enumerate(line) if len(t) <= PIECE and t not in common]:
+        for a, b in zip(line[max(i - 1, 0) : i + 1], line[max(i - 1, 0) + 1 : i + 2]):
+            if len(a) <= PIECE and len(b) <= PIECE and len(a) + len(b) > 3:
+                out.add(f"{a} {b}")
     return out
 
 
@@ -111,11 +120,10 @@ def sentences(text: str) -> set[str]:
 
 def _subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all subsequences, one row per string, and their weights (0 where the string is shorter), of unit length."""
-    c = np.zeros((len(strings), LONGEST + 2), np.int64)
-    for i, s in enumerate(strings):
-        c[i, : len(s) + 2] = [1, *map(_code, s), 1]
-    a, b, d = (c[:, _TRIPLES[:, j]] for j in range(3))
-    w = np.where(d > 0, _WEIGHTS, 0.0)
+    c = _codes(strings)
+    on = _TRIPLES[:, 2] < c.shape[1]
+    a, b, d = (c[:, _TRIPLES[on, j]] for j in range(3))
+    w = np.where(d > 0, _WEIGHTS[on], 0.0)
     w /= np.maximum(np.sqrt((w * w).sum(1, keepdims=True)), 1e-12)
     return (a * ALPHABET + b) * ALPHABET + d, w
 
@@ -133,9 +141,12 @@ class Machine:
 
     def decide(self, strings: list[str]) -> np.ndarray:
         out = np.zeros(len(strings))
+        # strings of like length together: short ones have few subsequences
+        order = np.argsort([len(s) for s in strings], kind="stable") if strings else np.zeros(0, int)
         for i in range(0, len(strings), 2048):
-            codes, w = _subsequences(strings[i : i + 2048])
-            out[i : i + 2048] = (self.weights[codes] * w).sum(1) + self.bias
+            part = order[i : i + 2048]
+            codes, w = _subsequences([strings[j] for j in part.tolist()])
+            out[part] = (self.weights[codes] * w).sum(1) + self.bias
         return out
 
     def learn(self, found: set[str]) -> None:
