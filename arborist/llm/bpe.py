@@ -43,9 +43,9 @@ from pyspark.sql import DataFrame
 from .common import held
 
 #: Distinct words of one generation; a worker keeps two, and those in use move on to the younger.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 150_000
 #: Token rows that all steps of one recursive query may hold, unless a single word needs more.
-QUERY_ROWS = 4_000_000
+QUERY_ROWS = 2_000_000
 #: Words of more bytes are cut, and contract all pairs of the least rank in a step.
 SHORT = 64
 
@@ -219,7 +219,7 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return held(("bpe", path, pattern), lambda: Tokenizer(path, pattern))
 
 
-def chunked(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str]]:
+def chunked(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str]]:
     """Texts in order, null as empty, in lists of about ``most`` characters."""
     part, size = [], 0
     for t in texts:

@@ -39,7 +39,14 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+#: What goes to a Python worker at once: texts of some thousand characters make some megabytes, on both sides of the pipe.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; sets the session's batches to bounded ones."""
+    for key, value in _BATCH.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

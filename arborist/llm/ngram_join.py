@@ -320,20 +320,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """v, label: the least vertex of each vertex's component. edges: a, b."""
     edges = written(edges.union(edges.select("b", "a")).toDF("v", "u").distinct(), "edges")
-    now = written(edges.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "labels")
+    table = written(edges.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "labels")
     while True:
+        now = table.select("v", "label")
         near = edges.join(now.toDF("u", "l"), "u").groupBy("v").agg(F.min("l").alias("l"))
         step = now.join(near, "v").select("v", F.least("label", "l").alias("label"), F.col("label").alias("before"))
         step = written(step, "labels")
         jump = step.select(F.col("v").alias("label"), F.col("label").alias("up"))
         nxt = step.join(jump, "label", "left").select("v", F.least("label", "up").alias("label"), (F.least("label", "up") < F.col("before")).alias("moved"))
         nxt = written(nxt, "labels")
-        discard(now, step)
+        discard(table, step)
+        table = nxt
         if not nxt.where("moved").head(1):
             discard(edges)
             return nxt.drop("moved")
-        now = written(nxt.drop("moved"), "labels")
-        discard(nxt)
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
@@ -399,3 +399,24 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
 def op3(docs: DataFrame) -> DataFrame:
     return grouped(docs, 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+#: Compares all texts that share a shingle: for tables of some thousand rows.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh
+  FROM w
+), x AS (SELECT doc_id, unnest(sh) AS g FROM s), n AS (SELECT doc_id, len(sh) AS n FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+least(id, label) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM s
+  UNION
+  SELECT l.b, min(r.label) FROM recurring.least r JOIN links l ON l.a = r.id JOIN recurring.least me ON me.id = l.b WHERE r.label < me.label GROUP BY l.b
+)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, least.label AS component_id FROM n JOIN least ON least.id = n.doc_id
+"""

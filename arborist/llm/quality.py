@@ -71,7 +71,9 @@ HOT_GRAMS = 1_000_000
 BROADCAST_IDS = 2_000_000
 SCALE, GRID = 1 << 24, 4096
 #: Bytes of text that a task takes apart at once.
-SLICE = 8_000_000
+SLICE = 5_000_000
+#: N-grams turned to Python strings at once.
+GRAMS = 50_000
 _BITS = 20
 _PLACES = mix(np.arange(1, ORDER + 1, dtype=U)) | U(1)
 
@@ -96,9 +98,9 @@ class Positions:
         self.starts = self.ends - self.lengths - 1
         codes = np.frombuffer(self.text.encode("utf-32-le"), np.uint32).astype(U) + U(1)
         n = int(self.ends[-1]) if len(words) else 0
-        self.word = np.repeat(np.arange(len(words)), self.lengths + 1)
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), self.lengths + 1)
         #: characters back to the opening blank
-        self.back = np.arange(n) - self.starts[self.word] + 1
+        self.back = (np.arange(n) - self.starts[self.word] + 1).astype(np.int32)
         salt = int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
         h = codes[1 : n + 1] * _PLACES[0] + U(salt)
         for j in range(1, ORDER):
@@ -129,12 +131,16 @@ def counted(texts: DataFrame) -> DataFrame:
                 for lang, _, found in _by_language(part, "lang", "text"):
                     codes, _, words = words_of(found)
                     at = Positions(words, lang)
-                    h, first, own = np.unique(at.hash, return_index=True, return_inverse=True)
-                    c = np.zeros(len(h), np.int64)
-                    np.add.at(c, own, np.bincount(codes, minlength=len(words))[at.word])
-                    grams = [at.gram(i) for i in first.tolist()]
-                    ctx, ch = zip(*grams) if grams else ((), ())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(ctx, pa.string()), pa.array(ch, pa.string()), pa.array(h, pa.int64()), pa.array(c)], ["lang", "ctx", "ch", "h", "c"])
+                    order = np.argsort(at.hash, kind="stable")
+                    starts = np.flatnonzero(np.concatenate([[True], np.diff(at.hash[order]) != 0])) if len(order) else order
+                    times = np.bincount(codes, minlength=len(words))[at.word[order]]
+                    first, h = order[starts], at.hash[order[starts]]
+                    c = np.add.reduceat(times, starts) if len(starts) else times
+                    del order, times
+                    for i in range(0, len(first), GRAMS):
+                        ctx, ch = zip(*map(at.gram, first[i : i + GRAMS].tolist()))
+                        part_h = h[i : i + GRAMS]
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ctx), pa.string()), pa.array(ctx, pa.string()), pa.array(ch, pa.string()), pa.array(part_h), pa.array(c[i : i + GRAMS])], ["lang", "ctx", "ch", "h", "c"])
 
     raw = texts.select("lang", "text").mapInArrow(run, schema)
     return raw.groupBy("lang", "ctx", "ch", "h").agg(F.sum("c").alias("c"))
@@ -317,6 +323,20 @@ def _held_out(texts: DataFrame, scores: DataFrame, langs: list[str], most: int)
     return written(out.select("lang", (-F.col("total") / SCALE / F.col("chars")).alias("lp"), "chars"), "held-out")
 
 
+def _crossed(few: DataFrame, most: int) -> DataFrame:
+    """lang, lp, chars of trusted documents that were trained on, each fifth by a model of the other four.
+
+    A language and a fifth make a language of their own, so that one pass fits all models.
+    """
+    few = written(few.select(F.coalesce("lang", F.lit("")).alias("lang"), "text", fold(F.col("doc_id")).alias("own")), "thin-languages")
+    apart = lambda part: F.concat("lang", F.lit("\0"), part.cast("string")).alias("lang")
+    others = few.withColumn("part", F.explode(F.array(*map(F.lit, range(1, 5))))).where("part <> own")
+    fitted = written(model(others.select(apart(F.col("part")), "text")), "model")
+    mine = few.where("own > 0").select(apart(F.col("own")), "text")
+    scores = written(gram_scores(written(counted(mine), "grams"), fitted), "scores")
+    return _held_out(mine, scores, _languages(fitted), most).withColumn("lang", F.substring_index("lang", "\0", 1))
+
+
 def _quantiles(values: DataFrame, shares: tuple[float, ...]) -> dict[str, tuple[int, list[float]]]:
     """language: (rows, each share's quantile of lp on the grid). A short row a language comes to the driver."""
     cells = values.groupBy("lang", F.ceil(F.col("lp") * GRID).alias("cell")).agg(F.count("*").alias("n"))
@@ -372,12 +392,7 @@ def judged(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None
     enough = clean.groupBy("lang").count().where(F.col("count") >= fewest(quantile))
     thin = [r["lang"] for r in fitted.select("lang").distinct().join(enough, "lang", "left_anti").collect()]
     if thin:
-        few = written(good.where(F.coalesce("lang", F.lit("")).isin(thin)), "thin-languages")
-        need_few = written(counted(few), "grams")
-        for f in range(1, 5):
-            other = written(model(few.where(fold(F.col("doc_id")) != f)), "model")
-            mine = written(gram_scores(need_few, other), "scores")
-            clean = clean.unionByName(_held_out(few.where(fold(F.col("doc_id")) == f), mine, _languages(other), most))
+        clean = clean.unionByName(_crossed(good.where(F.coalesce("lang", F.lit("")).isin(thin)), most))
     discard(need)
     middle = {lang: q[0] for lang, (_, q) in _quantiles(clean, (0.5,)).items()}
     cuts = _cuts(clean.withColumn("lp", _shrunk(F.col("lp"), F.col("chars"), middle)), quantile)
