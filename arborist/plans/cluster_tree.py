@@ -18,10 +18,10 @@ def from_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
     return single_linkage_label(cut_weight(points, mst(points, edges)))
 
 
-def cluster_tree(points: DataFrame, d_min: float = 0.01, d_max: float = 1000, scale_factor: float = 1.1, lsh: str = "balls", seed: int = 0) -> DataFrame:
-    """The approximate ultrametric of points by the spanner of a hash family."""
+def cluster_tree(points: DataFrame, d_min: float = 0.01, d_max: float = 1000, scale_factor: float = 1.1, lsh: str = "balls", seed: int = 0, t: int | None = None) -> DataFrame:
+    """The approximate ultrametric of points by the spanner of a hash family (``t`` as there)."""
     checked(d_min, d_max, scale_factor, lsh)
-    return from_edges(points, spanner(points, scale_factor, d_min, d_max, lsh, seed))
+    return from_edges(points, spanner(points, scale_factor, d_min, d_max, lsh, seed, t))
 
 
 def knn_tree(points: DataFrame, k: int = 70) -> DataFrame:
