@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arborist.functions.draws import draw, ladder, target_dimension
 from arborist.operators import cut, distortion, tree
-from arborist.operators.knn import knn
+from arborist.operators.knn import knn, pairwise
 from arborist.operators.linkage import cut_weight, single_linkage_label
 from arborist.operators.lsh import _hash, assigned, bucket_keys, lsh_edges, spanner
 from arborist.operators.mst import boruvka, mst, weighted
@@ -105,6 +106,19 @@ def test_neighbours_equal_brute_force(spark, block):
         assert [out[u][i][1] for i in range(1, 7)] == pytest.approx([w for w, _ in near])
 
 
+@pytest.mark.parametrize("block", [7, 4_000])
+def test_pairs_meet_in_blocks(spark, block):
+    """Every pair once, with the last bit of a sum from left to right; no join makes pairs."""
+    x = np.random.default_rng(7).normal(size=(60, 3)) * [1, 1e3, 1e-3]
+    x[5] = x[6]
+    out = pairwise(from_rows(spark, x).withColumn("id", F.col("id") * 3 - 50), block)
+    assert "Join" not in (plan := out._jdf.queryExecution().toString()) and "CartesianProduct" not in plan
+    got = [tuple(r) for r in out.collect()]
+    length = lambda d: float(np.sqrt((d[0] * d[0] + d[1] * d[1]) + d[2] * d[2]))
+    assert sorted(got) == [(i * 3 - 50, j * 3 - 50, length(x[i] - x[j])) for i in range(60) for j in range(i + 1, 60)]
+    assert pairwise(from_rows(spark, x[:1]), block).count() == pairwise(from_rows(spark, x).limit(0), block).count() == 0
+
+
 def test_sweep(spark):
     p = from_rows(spark, np.random.default_rng(6).normal(size=(20, 2)))
     rows_ = [*sweep(p, 0.1, 10, ("lipschitz",), (2.0,), nsample=100), *baseline(p, (3,), 100)]
