@@ -127,3 +127,16 @@ def test_pipeline_of_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_begin_with_little_heap(spark):
+    """Executors (here the driver) collect garbage before each stage that follows another."""
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    times = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(1, "a text", "en", "web", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.line_dedup_stage, corpus_pipeline.byte_bpe):
+        before = times()
+        stage(spark, docs, "")
+        assert times() > before
