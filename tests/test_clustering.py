@@ -119,6 +119,32 @@ def test_pairs_meet_in_blocks(spark, block):
     assert pairwise(from_rows(spark, x[:1]), block).count() == pairwise(from_rows(spark, x).limit(0), block).count() == 0
 
 
+def test_pairs_send_few_copies(spark):
+    """A point goes to as many tasks as there are blocks, in the bytes that hold it; ids far apart and coordinates of either width stay exact."""
+    x = np.random.default_rng(8).normal(size=(3000, 64)).astype(np.float32).astype(float)
+    x[7, 3] = 0.1
+    ids = np.random.default_rng(9).permutation(np.concatenate([np.arange(1500) - 2**62, np.arange(1500) * 2**50]))
+    p = points(spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "id bigint, x array<double>"), "id", "x")
+
+    def sent():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(10_000)
+        return sum(e.totalShuffleWrite() for e in (found.apply(k) for found in [sc.statusStore().executorList(False)] for k in range(found.size())))
+
+    before = sent()
+    out = pairwise(p).where(F.col("i").isin(ids[:8].tolist()) | F.col("j").isin(ids[:8].tolist()))
+    got = {(r["i"], r["j"]): r["l2"] for r in out.collect()}
+    assert sent() - before < 12 * 4 * x.size
+    where = {int(v): k for k, v in enumerate(ids)}
+    assert len(got) == 8 * 2999 - 28 and all(i < j for i, j in got)
+    for (i, j), l2 in got.items():
+        total = 0.0
+        for d in x[where[i]] - x[where[j]]:
+            total += d * d
+        assert l2 == np.sqrt(total)
+    assert pairwise(points(spark.range(3).select("id", F.array().cast("array<double>").alias("x")), "id", "x")).agg(F.sum("l2"), F.count("*")).first() == (0.0, 3)
+
+
 def test_sweep(spark):
     p = from_rows(spark, np.random.default_rng(6).normal(size=(20, 2)))
     rows_ = [*sweep(p, 0.1, 10, ("lipschitz",), (2.0,), nsample=100), *baseline(p, (3,), 100)]
